@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.cooccurrence import pair_lift
+from seqloom.llm.encoding_repair import repair_texts
+from seqloom.llm.lookalike import same_look, visible_forms
 from seqloom.llm.packing import CAPACITY, pack
 from seqloom.llm.paths import frequent_paths
 from seqloom.llm.tokenization import token_counts, token_ids
@@ -33,6 +35,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_lift(table(spark, d, "testing"), "user_id", "sequence_data", min_users=6, min_lift=15).select("item_a", "item_b")
 
 
+def p6_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled items with the restored text, and whether all of it could be restored."""
+    return repair_texts(table(spark, d, "items"), "id", "text").filter("garbled").select("id", "restored", "whole")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose text was decoded with a wrong encoding somewhere."""
+    return repair_texts(table(spark, d, "items"), "id", "text").filter("garbled AND id IS NOT NULL").select("id").distinct()
+
+
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct item row with the one consistent form of its text."""
+    return visible_forms(table(spark, d, "items").select("id", "text").distinct(), "text").select("id", "form")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose texts look the same but are stored differently."""
+    return same_look(table(spark, d, "items"), "id", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of each document."""
     return token_ids(table(spark, d, "documents"))
@@ -63,6 +85,10 @@ QUERIES = {
     "p3_paths": p3_paths,
     "p5_found": p5_found,
     "p5_pair_lift": p5_pair_lift,
+    "p6_found": p6_found,
+    "p6_repairs": p6_repairs,
+    "p7_found": p7_found,
+    "p7_forms": p7_forms,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
