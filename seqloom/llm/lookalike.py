@@ -15,6 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Letters of other scripts that look like a Latin letter, in the order of the Latin letters.
 CYRILLIC = dict(zip("АВСЕНІЈКМОРЅТХУаԁеһіјорԛѕԝхусѵӀ", "ABCEHIJKMOPSTXYadehijopqswxycvI"))
@@ -109,9 +110,12 @@ def visible_forms(df: DataFrame, text: str, form: str = "form") -> DataFrame:
     """``df`` with the consistent form of ``text`` in the column ``form``.
 
     Null stays null, an empty text or one of nothing but blanks and invisible characters gives the empty form. Runs of
-    blanks of any width count as one, blanks at the ends are dropped; case and accents are kept.
+    blanks of any width count as one, blanks at the ends are dropped; case and accents are kept. An
+    existing column of the name ``form`` is replaced.
     """
-    schema = df.withColumn(form, F.lit("")).schema
+    df = df.drop(form) if form != text else df.select([F.col(c).alias("_text" if c == text else c) for c in df.columns])
+    text = "_text" if form == text else text
+    schema = StructType([*df.schema.fields, StructField(form, StringType())])
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

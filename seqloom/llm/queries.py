@@ -11,6 +11,7 @@ from seqloom.llm.lookalike import same_look, visible_forms
 from seqloom.llm.packing import CAPACITY, pack
 from seqloom.llm.paths import frequent_paths
 from seqloom.llm.tokenization import token_counts, token_ids
+from seqloom.llm.toxicity import toxicity
 from seqloom.runtime import table
 
 
@@ -76,6 +77,23 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score, verdict and the strongest passage of each document."""
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels")).withColumn("score", F.round("score", 4))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least one abusive, hateful or sexual passage."""
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels")).filter("toxic AND doc_id IS NOT NULL").select("doc_id").distinct()
+
+
+def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, toxic documents and their share per source; documents without a source are a group of their own."""
+    rows = toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+    n = F.sum(F.col("toxic").cast("bigint"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), n.alias("n_toxic"), F.round(n / F.count(F.lit(1)), 6).alias("rate"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
 def _rounded(x: str) -> Column:
     return F.floor(F.col(x) * 1e6 + 0.5001) / 1e6
 
@@ -92,6 +110,9 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_source_rates": p10_source_rates,
 }
 
 _P3 = """n AS (SELECT count(DISTINCT user_id) AS n FROM testing),
