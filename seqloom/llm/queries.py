@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.cooccurrence import pair_lift
 from seqloom.llm.encoding_repair import repair_texts
 from seqloom.llm.lookalike import same_look, visible_forms
+from seqloom.llm.neighbours import nearest_neighbours
 from seqloom.llm.packing import CAPACITY, pack
 from seqloom.llm.paths import frequent_paths
 from seqloom.llm.tokenization import token_counts, token_ids
@@ -15,6 +16,17 @@ from seqloom.llm.toxicity import toxicity
 from seqloom.runtime import table
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar other items of every item with a usable vector."""
+    return nearest_neighbours(table(spark, d, "t5xl"), "item_id", "embedding").withColumn("cosine", F.round(F.col("cosine").cast("double"), 4))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of items whose vectors have a cosine of at least 0.90."""
+    near = nearest_neighbours(table(spark, d, "t5xl"), "item_id", "embedding").filter(F.col("cosine") >= 0.9)
+    return near.select(F.least("item_id", "neighbour").alias("item_a"), F.greatest("item_id", "neighbour").alias("item_b")).distinct()
+
+
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     """Item orders of 3 or 4 items with the users behind each."""
     rows = frequent_paths(table(spark, d, "testing"), "user_id", "sequence_data")
@@ -99,6 +111,8 @@ def _rounded(x: str) -> Column:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
     "p3_found": p3_found,
     "p3_paths": p3_paths,
     "p5_found": p5_found,
@@ -142,7 +156,16 @@ p5 AS (
     CASE WHEN n_ab < ka.n THEN (1 - kb.n / n.n) / (1 - n_ab / ka.n) END AS conviction
   FROM pair JOIN k ka ON ka.i = item_a JOIN k kb ON kb.i = item_b, n)"""
 
+_P1 = """u AS (
+  SELECT item_id, min(embedding) AS e FROM t5xl
+  WHERE item_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY item_id)"""
+
 SQL = {
+    "p1_found": f"""WITH {_P1}
+SELECT a.item_id AS item_a, b.item_id AS item_b FROM u a JOIN u b ON a.item_id < b.item_id
+WHERE list_cosine_similarity(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) >= 0.9""",
     "p3_found": f"WITH {_P3} SELECT item_path FROM p3",
     "p3_paths": f"WITH {_P3} SELECT item_path, n_items, n_users, round(n_users / (SELECT n FROM n), 6) AS support FROM p3",
     "p5_found": f"WITH {_P5} SELECT item_a, item_b FROM p5 WHERE n_ab * n_users >= 15 * n_a * n_b",
