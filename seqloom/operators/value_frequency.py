@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.runtime import cut
+
 
 def compress(df: DataFrame, key: Column, value: Column) -> DataFrame:
     """``(k, v, w)``: each distinct value of each key with its number of rows. Null keys are kept as a key of their own."""
@@ -47,11 +49,8 @@ def key_percentiles(pairs: DataFrame, qs: Sequence[float], partitions: int | Non
     """
     spark = pairs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        pairs.filter(F.col("v").isNotNull())
-        .repartitionByRange(n, "k", "v")
-        .withColumn("pid", F.spark_partition_id())
-    )
+    # Read twice below, so the partition numbers must be fixed once.
+    ranged = cut(pairs.filter(F.col("v").isNotNull()).repartitionByRange(n, "k", "v").withColumn("pid", F.spark_partition_id()))
     part = ranged.groupBy("k", "pid").agg(F.sum("w").alias("pw"))
     before = Window.partitionBy("k").orderBy("pid")
     part = part.select(

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from seqloom.plans import general
+from seqloom.plans import general, sequence_queries
 
 FLAGSHIP = "p2_found"
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**sequence_queries.QUERIES, **general.QUERIES}
+SQL = {**sequence_queries.SQL, **general.SQL}

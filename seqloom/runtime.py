@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "seqloom") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own session."""
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # one thread a task, as on a cluster
+        os.environ.setdefault(name, "1")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -87,3 +89,20 @@ def local_copy(name: str) -> str:
     from pyspark import SparkFiles
 
     return SparkFiles.get(name)
+
+
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """``n`` bigint keys of which ``repartition(n, key)`` puts exactly one into each partition.
+
+    For few, heavy groups: hashing their natural keys would put some of them into one task by chance.
+    """
+    from pyspark.sql import functions as F
+
+    found: dict[int, int] = {}
+    lo, step = 0, max(64, 16 * n)
+    while len(found) < n:
+        ids = spark.range(lo, lo + step, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+        for r in ids.groupBy("p").agg(F.min("id").alias("id")).collect():
+            found.setdefault(r["p"], r["id"])
+        lo += step
+    return [found[p] for p in range(n)]
