@@ -17,45 +17,44 @@ def ring_lists(ranked: DataFrame, hops: int, key: str = "q") -> DataFrame:
     return m.select(key, F.array(*[F.coalesce(F.try_element_at("_m", F.lit(h)), F.array().cast(_EMPTY)) for h in range(1, hops + 1)]).alias("picks"))
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def fold(picks: Column, budgets: Sequence[int], already: Column | None = None) -> Column:
-    """Struct ``(res, over)``: per ring, leftovers of earlier rings fill what its own picks fall short of the budget, then come its picks; the rest waits.
+    """The folded list: per ring, leftovers of earlier rings fill what its own picks fall short of the budget, then come its picks; the rest waits.
 
-    Picks that were chosen before (in ``already`` or in the result) are passed over.
+    At the end, leftovers top the list up to the sum of the budgets. Picks that were chosen before (in ``already``, in the result
+    or among the leftovers) are passed over. One aggregate over the rings, so the expression doesn't grow with their number.
     """
     empty = F.array().cast(_EMPTY)
-    state = F.struct(empty.alias("res"), empty.alias("over"))
-    for h, k in enumerate(budgets):
-        p = F.coalesce(F.get(picks, h), empty)
-        p = F.array_except(p, already) if already is not None else p
-        p = F.array_except(p, F.concat(state["res"], state["over"]))
-        over = state["over"]
-        t = F.least(F.size(over), F.greatest(F.lit(0), F.lit(k) - F.size(p)))
-        state = F.struct(
-            F.concat(state["res"], F.slice(over, 1, t), F.slice(p, 1, F.lit(k) - t)).alias("res"),
-            F.concat(F.slice(over, t + 1, F.size(over)), F.slice(p, F.lit(k) - t + 1, F.size(p))).alias("over"),
-        )
-    return state
+    rings = F.zip_with(picks, F.lit(list(budgets)).cast("array<int>"), lambda items, k: F.struct(F.coalesce(items, empty).alias("items"), F.coalesce(k, F.lit(0)).alias("k")))
 
+    def step(acc: Column, ring: Column) -> Column:
+        own = F.array_except(ring["items"], already) if already is not None else ring["items"]
+        fresh = F.array_except(own, F.concat(acc["res"], acc["over"]))
 
-def assemble(rows: DataFrame, picks: str, budgets: Sequence[int], out: str = "items", already: str | None = None) -> DataFrame:
-    """Adds the folded list, topped up with leftovers to the sum of the budgets.
+        def place(p: Column) -> Column:
+            return _let(
+                F.least(F.size(acc["over"]), F.greatest(F.lit(0), ring["k"] - F.size(p))),
+                lambda t: F.struct(
+                    F.concat(acc["res"], F.slice(acc["over"], F.lit(1), t), F.slice(p, F.lit(1), ring["k"] - t)).alias("res"),
+                    F.concat(F.slice(acc["over"], t + 1, F.size(acc["over"])), F.slice(p, ring["k"] - t + 1, F.size(p))).alias("over"),
+                ),
+            )
+
+        return _let(fresh, place)
 
-    Each ring's state is a column of its own, so that expressions stay small.
-    """
     total = sum(budgets)
-    empty = F.array().cast(_EMPTY)
-    df = rows.withColumn("_res", empty).withColumn("_over", empty)
-    for h, k in enumerate(budgets):
-        p = F.coalesce(F.get(F.col(picks), h), empty)
-        p = F.array_except(p, F.col(already)) if already else p
-        df = df.withColumn("_p", F.array_except(p, F.concat("_res", "_over")))
-        df = df.withColumn("_t", F.least(F.size("_over"), F.greatest(F.lit(0), F.lit(k) - F.size("_p"))))
-        df = df.select(
-            *rows.columns,
-            F.concat("_res", F.slice("_over", F.lit(1), F.col("_t")), F.slice("_p", F.lit(1), F.lit(k) - F.col("_t"))).alias("_res"),
-            F.concat(F.slice("_over", F.col("_t") + 1, F.size("_over")), F.slice("_p", F.lit(k) - F.col("_t") + 1, F.size("_p"))).alias("_over"),
-        )
-    return df.withColumn(out, F.concat("_res", F.slice("_over", F.lit(1), F.greatest(F.lit(total) - F.size("_res"), F.lit(0))))).drop("_res", "_over")
+    start = F.struct(empty.alias("res"), empty.alias("over"))
+    return F.aggregate(rings, start, step, lambda acc: F.concat(acc["res"], F.slice(acc["over"], F.lit(1), F.greatest(F.lit(total) - F.size(acc["res"]), F.lit(0)))))
+
+
+def assemble(rows: DataFrame, picks: str, budgets: Sequence[int], out: str = "items", already: str | None = None) -> DataFrame:
+    """Adds the folded list; rows without any picks get an empty one."""
+    none = F.array_repeat(F.array().cast(_EMPTY), len(budgets))
+    return rows.withColumn(out, fold(F.coalesce(picks, none), budgets, F.col(already) if already else None))
 
 
 def top_up(items: Column, more: Column, total: int, already: Column | None = None) -> Column:

@@ -113,7 +113,7 @@ def two_source(seqs: DataFrame, edges: DataFrame, vectors: DataFrame, cfg: Confi
     a = _padded(assembly.assemble(a, "picks", cfg.budgets2).select("user_id", "items", "target", "before_last"), first, cfg, edges)
     src3 = t.filter(F.col("before_last").isNotNull()).select(F.col("before_last").alias("src")).distinct()
     ranked3, _ = _ranked(edges, src3, vectors, cfg.depth(cfg.budgets3), cfg.alpha, first + second)
-    per_user = a.select(F.col("user_id"), F.col("before_last").alias("src")).join(ranked3.withColumnRenamed("q", "src3"), F.col("src") == F.col("src3"))
+    per_user = a.select(F.col("user_id"), F.col("before_last").alias("src")).join(ranked3.select(F.col("q").alias("src3"), "hop", "item", "score"), F.col("src") == F.col("src3"))
     per_user = per_user.select(F.col("user_id").alias("q"), F.col("hop"), F.col("item"), F.col("score"), F.lit(0).alias("rank"))
     taken = a.select(F.col("user_id").alias("q"), F.explode("items").alias("item"))
     masked = ranking.without(per_user, taken, second)

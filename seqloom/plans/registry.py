@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from seqloom.plans import general, sequence_queries
+from seqloom.plans import general, graph_queries, sequence_queries
 
-FLAGSHIP = "p2_found"
-QUERIES = {**sequence_queries.QUERIES, **general.QUERIES}
-SQL = {**sequence_queries.SQL, **general.SQL}
+FLAGSHIP = "recommend_single_source"
+QUERIES = {**sequence_queries.QUERIES, **graph_queries.QUERIES, **general.QUERIES}
+SQL = {**sequence_queries.SQL, **graph_queries.SQL, **general.SQL}
