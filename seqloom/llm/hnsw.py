@@ -89,7 +89,7 @@ def _greedy(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, at: np.ndarray) -
     return at
 
 
-def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int, spread: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int, spread: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of all queries in step: ``spread`` nodes of each beam are expanded at a time, until a beam holds no unexpanded node."""
     b, n = len(q), len(vecs)
     rows = np.arange(b)
@@ -185,7 +185,7 @@ def _choose(vecs: np.ndarray, ids: np.ndarray, sims: np.ndarray, degree: int) ->
     """
     b, c = ids.shape
     v = vecs[ids]
-    between = np.matmul(v, v.transpose(0, 2, 1))
+    between = np.matmul(v, np.ascontiguousarray(v.transpose(0, 2, 1)))
     chosen = np.zeros((b, c), bool)
     worst = np.full((b, c), -np.inf, np.float32)  # similarity of each candidate to its closest chosen neighbour
     valid = ids >= 0
@@ -215,8 +215,10 @@ def _connect(vecs: np.ndarray, nbrs: np.ndarray, nodes: np.ndarray, ids: np.ndar
     order = np.argsort(dst, kind="stable")
     src, dst = src[order], dst[order]
     heads, begin, count = np.unique(dst, return_index=True, return_counts=True)
-    for lo in range(0, len(heads), 2048):
-        h, bg, ct = heads[lo : lo + 2048], begin[lo : lo + 2048], count[lo : lo + 2048]
+    by_count = np.argsort(count, kind="stable")  # blocks of like width
+    heads, begin, count = heads[by_count], begin[by_count], count[by_count]
+    for lo in range(0, len(heads), 512):
+        h, bg, ct = heads[lo : lo + 512], begin[lo : lo + 512], count[lo : lo + 512]
         ct = np.minimum(ct, 3 * degree)
         width = int(ct.max())
         cand = np.full((len(h), degree + width), -1, np.int64)
@@ -232,5 +234,9 @@ def _connect(vecs: np.ndarray, nbrs: np.ndarray, nodes: np.ndarray, ids: np.ndar
                 twice[:, j] = (cand[:, :j] == cand[:, j : j + 1]).any(1)
         s[(cand < 0) | twice] = -np.inf
         cand[np.isneginf(s)] = -1
-        top = np.argsort(-s, axis=1, kind="stable")[:, : 2 * degree]
-        nbrs[h] = _choose(vecs, np.take_along_axis(cand, top, 1), np.take_along_axis(s, top, 1), degree)
+        top = np.argsort(-s, axis=1, kind="stable")[:, : degree + max(8, degree // 2)]
+        cand, s = np.take_along_axis(cand, top, 1), np.take_along_axis(s, top, 1)
+        full = (cand[:, degree:] >= 0).any(1) if cand.shape[1] > degree else np.zeros(len(h), bool)
+        nbrs[h[~full]] = cand[~full, :degree]
+        if full.any():
+            nbrs[h[full]] = _choose(vecs, cand[full], s[full], degree)

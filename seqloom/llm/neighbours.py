@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.hnsw import Graph
-from seqloom.runtime import cut
+from seqloom.operators.ordering import top_per_key
+from seqloom.runtime import cut, spread_keys
 
 #: Vectors of a shard, cells that a query visits, rows of the sample that the tree is fitted on, queries of a task.
-SHARD_VECTORS, PROBES, SAMPLE, BLOCK = 131_072, 6, 32_768, 65_536
+SHARD_VECTORS, PROBES, SAMPLE, BLOCK = 65_536, 6, 32_768, 65_536
 #: Neighbours per node (twice as many on level 0), and beam widths of build and search.
-DEGREE, EF_BUILD, EF_SEARCH = 16, 48, 80
+DEGREE, EF_BUILD, EF_SEARCH = 16, 32, 80
 _PART = 4 << 20  # bytes of a piece of a stored graph
 
 
@@ -130,11 +131,17 @@ def nearest_neighbours(
     calls = {r["c"]: r["n"] for r in routed.select(F.explode("cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     salts = {x: max(1, -(-m // (2 * shard_vectors))) for x, m in homes.items()}
     shards = sum(salts.values())
-    blocks = {x: max(-(-calls.get(x, 0) // BLOCK), min(-(-spark.sparkContext.defaultParallelism // shards), -(-calls.get(x, 0) // 1024))) for x in homes}
-    plan = spark.createDataFrame([(x, salts[x], blocks[x]) for x in homes], "c int, salts int, blocks int")
-
-    base = routed.select("k", "v", F.col("cells")[0].alias("c")).join(F.broadcast(plan), "c")
-    base = base.select("k", "v", "c", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("salt"))
+    # Queries of a shard go to as many tasks as their number asks for, and to more where there would be fewer tasks than cores.
+    least = -(-2 * spark.sparkContext.defaultParallelism // shards)
+    blocks = {x: max(1, -(-calls.get(x, 0) // BLOCK), min(least, -(-calls.get(x, 0) // 1024))) for x in homes}
+    shard_list = [(x, s) for x in sorted(homes) for s in range(salts[x])]
+    groups = [(x, s, b) for x, s in shard_list for b in range(blocks[x])]
+    plan = F.broadcast(spark.createDataFrame([(x, salts[x], blocks[x]) for x in homes], "c int, salts int, blocks int"))
+    shard_keys = F.broadcast(spark.createDataFrame([(*x, g) for x, g in zip(shard_list, spread_keys(spark, len(shard_list)))], "c int, salt int, g bigint"))
+    group_keys = F.broadcast(spark.createDataFrame([(*x, g) for x, g in zip(groups, spread_keys(spark, len(groups)))], "c int, salt int, block int, g bigint"))
+
+    base = routed.select("k", "v", F.col("cells")[0].alias("c")).join(plan, "c")
+    base = base.select("k", "v", "c", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("salt")).join(shard_keys, ["c", "salt"]).repartition(len(shard_list), "g")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
@@ -146,12 +153,12 @@ def nearest_neighbours(
         parts = [data[i : i + _PART] for i in range(0, len(data), _PART)]
         return pd.DataFrame({"c": at[0], "salt": at[1], "part": range(len(parts)), "data": parts})
 
-    graphs = base.groupBy("c", "salt").applyInPandas(build, "c int, salt int, part int, data binary")
+    graphs = base.groupBy("g").applyInPandas(build, "c int, salt int, part int, data binary")
     graphs = cut(graphs)  # the expensive step: lost executors must not cause it to be done again
-    spread = graphs.join(F.broadcast(plan), "c").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("c", "salt", "block", "part", "data")
-    asked = routed.select("k", "v", F.explode("cells").alias("c")).join(F.broadcast(plan), "c")
+    spread = graphs.join(group_keys, ["c", "salt"]).select("g", "part", "data").repartition(len(groups), "g")
+    asked = routed.select("k", "v", F.explode("cells").alias("c")).join(plan, "c")
     asked = asked.select("c", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"), "k", "v")
+    asked = asked.join(group_keys, ["c", "salt", "block"]).select(F.col("g").alias("h"), "k", "v").repartition(len(groups), "h")
 
     def search(parts: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         cols = ["k", "ids", "sims"]
@@ -168,8 +175,16 @@ def nearest_neighbours(
         ok = (i >= 0) & (got != keys[:, None])
         return pd.DataFrame({"k": keys, "ids": [a[o][:k] for a, o in zip(got, ok)], "sims": [a[o][:k] for a, o in zip(s, ok)]})
 
-    found = spread.groupBy("c", "salt", "block").cogroup(asked.groupBy("c", "salt", "block")).applyInPandas(search, "k bigint, ids array<bigint>, sims array<float>")
-    best = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip((F.transform("sims", lambda x: -x)).alias("s"), F.col("ids").alias("i"))))), 1, k)
-    merged = found.groupBy("k").agg(best.alias("b"))  # at most probes * salts short lists an item
+    found = spread.groupBy("g").cogroup(asked.groupBy("h")).applyInPandas(search, "k bigint, ids array<bigint>, sims array<float>")
+    def best(rows: DataFrame) -> DataFrame:
+        """The k best distinct neighbours of each item; ``rows`` holds a bounded number of short lists an item."""
+        return rows.groupBy("k").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("b")))), 1, k).alias("b"))
+
+    zipped = F.arrays_zip(F.transform("sims", lambda x: -x).alias("s"), F.col("ids").alias("i"))
+    merged = cut(best(found.select("k", zipped.alias("b"))))  # at most probes * salts lists
+    # Similarity has no direction: what one item found, the other may have missed. An item that is in very many lists keeps its best k.
+    back = merged.select("k", F.explode("b").alias("x")).select(F.col("x.i").alias("k"), F.col("k").alias("id"), F.col("x.s").alias("s"))
+    back = top_per_key(back, ["k"], ["s", "id"], k, "r").select("k", F.array(F.struct("s", F.col("id").alias("i"))).alias("b"))
+    merged = best(merged.unionByName(back))
     out = merged.select(F.col("k").alias("item_id"), F.posexplode("b").alias("p", "x")).select("item_id", (F.col("p") + 1).alias("rank"), F.col("x.i").alias("neighbour"), (-F.col("x.s")).alias("cosine"))
     return out.unionByName(rest) if rest is not None else out
