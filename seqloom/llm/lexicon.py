@@ -127,7 +127,7 @@ class Lexicon:
         """The number of each word, or -1: all words step through the automaton together, a byte at a time."""
         n = len(words)
         out = np.full(n, -1, np.int64)
-        if not n or not len(self.key):
+        if not n:
             return out
         lens = np.fromiter(map(len, words), np.int64, n)
         flat = np.frombuffer(b"".join(words), np.uint8)
@@ -146,6 +146,8 @@ class Lexicon:
             if not len(live):
                 break
             want = state[live] * 256 + flat[start[live] + depth]
+            if not len(self.key):
+                break
             at = np.searchsorted(self.key, want)
             at[at == len(self.key)] = 0
             hit = self.key[at] == want

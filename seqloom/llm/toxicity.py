@@ -38,7 +38,7 @@ LOW, HIGH, SHIFT = -2.5, 5.0, 0.8
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "+": "t"})
 UNKNOWN, NUMBER, STOP, FIRST = 1, 2, 3, 8
 
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]([._*\-])(?:[^\W\d_]\1)+[^\W\d_]|[^\W\d_](?: [^\W\d_]){3,})(?![^\W_])")
+_SPACED = re.compile(r"(?<![\w'’])(?:[^\W\d_]([._*\-])(?:[^\W\d_]\1)+[^\W\d_]|[^\W\d_](?: [^\W\d_]){3,})(?!\w|[._*\-]\w)")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ가-힣]|[.!?。！？\n]+|(?:[^\W_]|[@$€](?=\w))(?:[^\W_]|[@$€*!|+](?=[\w@$€*!|+])|['’](?=[^\W\d_]))*")
 _RUNS = re.compile(r"(.)\1+")
 _LONG = re.compile(r"(.)\1{2,}")
@@ -175,7 +175,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     docs = [np.fromiter(map(model.id_of, ws), np.int64, len(ws)) for ws in toks]
     size1 = FIRST + len(keep)
     feats = [features(d) for d in docs]
-    lens = np.array([len(d) for d in docs])
+    lens = np.array([len(d) for d in docs], np.int64)
     one, two, three = (np.concatenate([f[k] for f in feats]) if feats else np.zeros(0, np.int64) for k in range(3))
     owner = np.repeat(np.arange(len(docs)), lens)
     start = np.cumsum(lens) - lens
