@@ -53,7 +53,10 @@ class Graph:
         for a in range(0, len(queries), block):
             q = queries[a : a + block]
             start = self.entries(q) if entry is None else entry[a : a + block]
-            i, s = _beam(self.vecs, nbrs, q, start[:, None], max(ef, k))
+            i, _ = _beam(self.vecs, nbrs, q, start[:, None], max(ef, k))
+            i = i[:, :k]
+            s = np.einsum("ikj,ij->ik", self.vecs[i], q)  # all in one way, so that copies of a vector tie exactly
+            s[i < 0] = -np.inf
             ids[a : a + block, : min(k, i.shape[1])], sims[a : a + block, : min(k, i.shape[1])] = i[:, :k], s[:, :k]
         return ids, sims
 
@@ -105,14 +108,11 @@ def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray,
     seen[rows[:, None], start] = True
     live = rows
     while len(live):
-        d = done[live]
-        # beams are sorted best first: the first unexpanded ones are the best
-        pick = np.argsort(d, axis=1, kind="stable")[:, :spread]
-        fresh = ~np.take_along_axis(d, pick, 1)
-        d_new = d.copy()
-        np.put_along_axis(d_new, pick, True, 1)
-        done[live] = d_new
-        src = np.where(fresh, np.take_along_axis(ids[live], pick, 1), -1)
+        open_ = np.where(done[live], np.inf, -sims[live])
+        pick = np.argpartition(open_, spread, axis=1)[:, :spread] if ef > spread else np.tile(np.arange(ef), (len(live), 1))
+        fresh = np.isfinite(np.take_along_axis(open_, pick, 1))
+        done[live[:, None], pick] = True
+        src = np.where(fresh, ids[live[:, None], pick], -1)
         near = np.where((src >= 0)[:, :, None], nbrs[src], -1).reshape(len(live), -1)
         near[near < 0] = n
         new = ~seen[live[:, None], near]
@@ -123,8 +123,7 @@ def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray,
         r, v = r[first], v[first]
         seen[live[r], v] = True
         s = np.einsum("ij,ij->i", vecs[v], q[live[r]])
-        floor = sims[live[r], ef - 1]
-        ok = s > floor
+        ok = s > sims[live].min(1)[r]
         r, v, s = r[ok], v[ok], s[ok]
         if len(r):
             count = np.bincount(r, minlength=len(live))
@@ -138,9 +137,11 @@ def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray,
             all_s = np.concatenate([sims[at], add_s[has]], 1)
             all_i = np.concatenate([ids[at], add_i[has]], 1)
             all_d = np.concatenate([done[at], np.isneginf(add_s[has])], 1)
-            top = np.argsort(-all_s, axis=1, kind="stable")[:, :ef]
+            top = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]  # beams are sorted at the end only
             sims[at], ids[at], done[at] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1), np.take_along_axis(all_d, top, 1)
         live = live[~done[live].all(1)]
+    order = np.argsort(-sims, axis=1, kind="stable")
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     ids[ids == n] = -1
     return ids, sims
 

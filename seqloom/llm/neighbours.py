@@ -20,7 +20,7 @@ from seqloom.operators.ordering import top_per_key
 from seqloom.runtime import cut, spread_keys
 
 #: Vectors of a shard, cells that a query visits, rows of the sample that the tree is fitted on, queries of a task.
-SHARD_VECTORS, PROBES, SAMPLE, BLOCK = 65_536, 6, 32_768, 65_536
+SHARD_VECTORS, PROBES, SAMPLE, BLOCK = 65_536, 5, 32_768, 65_536
 #: Neighbours per node (twice as many on level 0), and beam widths of build and search.
 DEGREE, EF_BUILD, EF_SEARCH = 16, 32, 80
 _PART = 4 << 20  # bytes of a piece of a stored graph
@@ -170,8 +170,11 @@ def nearest_neighbours(
         g = Graph.load(data[8 + 8 * m :])
         q = np.frombuffer(b"".join(queries["v"]), np.float32).reshape(-1, dim)
         keys = queries["k"].to_numpy(np.int64)
-        i, s = g.search(q, k + 1, max(ef, k + 1))
+        wide = 2 * k + 2  # holds the query itself and, at the k-th place, all copies of one vector
+        i, s = g.search(q, wide, max(ef, wide))
         got = np.where(i >= 0, ids[i], -1)
+        order = np.lexsort((got, -s), axis=1)
+        i, s, got = (np.take_along_axis(x, order, 1) for x in (i, s, got))
         ok = (i >= 0) & (got != keys[:, None])
         return pd.DataFrame({"k": keys, "ids": [a[o][:k] for a, o in zip(got, ok)], "sims": [a[o][:k] for a, o in zip(s, ok)]})
 
