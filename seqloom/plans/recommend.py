@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import assembly, graph, ranking
 from seqloom.operators.sequences import targets
 from seqloom.operators.vectors import anchors_mean, normalise
+from seqloom.runtime import cut
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,11 @@ def _ranked(edges: DataFrame, sources: DataFrame, vectors: DataFrame, depth: int
 
 
 def _padded(rows: DataFrame, total: int, cfg: Config, edges: DataFrame, key: str = "user_id", already: str | None = None) -> DataFrame:
-    """Lists shorter than ``total`` are topped up with pseudo-random vertices."""
+    """Lists shorter than ``total`` are topped up with pseudo-random vertices. The lists are kept, as they are read again; without short ones they are done."""
     cols = rows.columns
+    rows = cut(rows)
+    if rows.filter(F.size("items") < total).isEmpty():
+        return rows
     short = rows.filter(F.size("items") < total).select(F.col(key).alias("q"), "items", *([already] if already else []))
     pad = assembly.random_pad(short, graph.vertices(edges), total, cfg.seed, "items", already=already).withColumnRenamed("q", key)
     out = rows.join(pad, key, "left")
