@@ -41,10 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    at = spark.sparkContext.getCheckpointDir()
-    if at:
-        return at
-    return "file://" + tempfile.mkdtemp(prefix="seqloom-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seqloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
