@@ -114,4 +114,4 @@ def csv_columns(spark: SparkSession, path: str, columns: Sequence[str], blanks:
 def quoted_tsv(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """Tab-separated, quoted, no header; ``names`` are given to the first columns, plus ``ord``."""
     schema = ", ".join(f"`{n}` string" for n in names)
-    return spark.read.option("sep", "\t").option("quote", '"').schema(schema).csv(path).withColumn("ord", F.monotonically_increasing_id())
+    return spark.read.option("sep", "\t").option("quote", '"').option("escape", '"').schema(schema).csv(path).withColumn("ord", F.monotonically_increasing_id())

@@ -3,7 +3,6 @@ import json
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 
 from seqloom import config
 from seqloom.operators import embed, sinks
@@ -82,7 +81,7 @@ def test_other_readers(spark, tmp_path, rows):
     assert rows(rd.csv_columns(spark, str(c), ["id", "t"])) == [("007", 'a "q", b'), ("008", "")]
     t = tmp_path / "n.tsv"
     t.write_text('N1\ta\tb\t"x ""y"""\n')
-    assert rows(rd.quoted_tsv(spark, str(t), ["id", "b", "c", "title"]).drop("ord")) == [("N1", "a", "b", 'x "y"')] or True
+    assert rows(rd.quoted_tsv(spark, str(t), ["id", "b", "c", "title"]).drop("ord")) == [("N1", "a", "b", 'x "y"')]
 
 
 def test_names_and_folders(tmp_path):
@@ -163,4 +162,3 @@ def test_stream_shards(spark, tmp_path, rows):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert rows(graph.from_shards(got.select("shard", "src", "dst", "cnt"), "src", "dst", "cnt")) == [(1, 2, 2)]
-    assert spark.createDataFrame([(1,)], "x int").select(F.lit(1)).count() == 1
