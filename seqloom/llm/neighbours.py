@@ -1,7 +1,7 @@
 """Most similar vectors for every vector: a small-world graph per shard, shard results merged.
 
 Vectors are routed to cells by a balanced tree of centroids that is fitted on a bounded sample; every vector is indexed in its own cell
-and searches the graphs of its closest cells. Cells that turn out too large are salted into several shards, all of
+and searches the graphs of its closest cells. How many these must be is measured on a sample of queries with exact neighbours. Cells that turn out too large are salted into several shards, all of
 which are searched.
 """
 
@@ -19,10 +19,12 @@ from seqloom.llm.hnsw import Graph
 from seqloom.operators.ordering import top_per_key
 from seqloom.runtime import cut, spread_keys
 
-#: Vectors of a shard, cells that a query visits, rows of the sample that the tree is fitted on, queries of a task.
-SHARD_VECTORS, PROBES, SAMPLE, BLOCK = 65_536, 5, 32_768, 65_536
+#: Vectors of a shard, rows of the sample that the tree is fitted on, queries of a task.
+SHARD_VECTORS, SAMPLE, BLOCK = 65_536, 32_768, 65_536
+#: A query visits as many cells as hold this share of the true neighbours of a sample of so many queries.
+ROUTED, QUERIES = 0.97, 512
 #: Neighbours per node (twice as many on level 0), and beam widths of build and search.
-DEGREE, EF_BUILD, EF_SEARCH = 16, 32, 80
+DEGREE, EF_BUILD, EF_SEARCH = 16, 48, 128
 _PART = 4 << 20  # bytes of a piece of a stored graph
 
 
@@ -67,6 +69,41 @@ def centroid_tree(x: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
     return np.stack([g.mean(0) for g in groups]).astype(np.float32)
 
 
+def visits_needed(index: DataFrame, queries: list, centroids: np.ndarray, k: int, share: float = ROUTED) -> int:
+    """The least number of closest cells that hold ``share`` of the exact k nearest of ``queries`` (rows of ``k, v``), which are compared with all of ``index``."""
+    dim = centroids.shape[1]
+    queries = sorted(queries, key=lambda r: r["k"])
+    own = np.array([r["k"] for r in queries], np.int64)
+    q = np.frombuffer(b"".join(bytes(r["v"]) for r in queries), np.float32).reshape(-1, dim)
+    sent = index.sparkSession.sparkContext.broadcast((own, q, centroids))
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_, q_, c = sent.value
+        sims, cells = np.full((len(q_), k), -np.inf, np.float32), np.full((len(q_), k), -1, np.int32)
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float32).reshape(-1, dim)
+            if not len(x):
+                continue
+            keys = b.column("k").to_numpy()
+            home = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1).astype(np.int32)
+            s = q_ @ x.T
+            at = np.minimum(np.searchsorted(own_, keys), len(own_) - 1)
+            same = np.flatnonzero(own_[at] == keys)
+            s[at[same], same] = -np.inf
+            s, h = np.concatenate([sims, s], 1), np.concatenate([cells, np.broadcast_to(home, s.shape)], 1)
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            sims, cells = np.take_along_axis(s, top, 1), np.take_along_axis(h, top, 1)
+        i, j = np.nonzero(np.isfinite(sims))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(sims[i, j], pa.float32()), pa.array(cells[i, j], pa.int32())], names=["q", "s", "c"])
+
+    found = index.select("k", "v").mapInArrow(closest, "q int, s float, c int")
+    rows = top_per_key(found, ["q"], [F.desc("s"), "c"], k, "r").select("q", "c").collect()  # k rows a query
+    place = np.argsort(np.argsort(-(q @ centroids.T - 0.5 * (centroids**2).sum(1)), axis=1, kind="stable"), axis=1)
+    ranks = np.array([place[r["q"], r["c"]] for r in rows], int)
+    held = np.cumsum(np.bincount(ranks, minlength=len(centroids))) / max(len(ranks), 1)
+    return int(np.argmax(held >= share)) + 1 if len(ranks) else 1
+
+
 def nearest_neighbours(
     df: DataFrame,
     key: str,
@@ -74,7 +111,7 @@ def nearest_neighbours(
     k: int = 10,
     dim: int | None = None,
     shard_vectors: int = SHARD_VECTORS,
-    probes: int = PROBES,
+    probes: int | None = None,
     ef: int = EF_SEARCH,
 ) -> DataFrame:
     """``item_id, rank, neighbour, cosine``: the k most similar other items of every item with a usable vector, by cosine.
@@ -82,7 +119,7 @@ def nearest_neighbours(
     See ``usable_vectors`` for what is usable; without ``dim``, the most frequent dimension is taken. Repeated rows
     count once, ties in cosine go to the smaller id, an item with fewer than k others gets fewer rows, and no usable vector gives no
     rows. Of items with one and the same vector, the k + 1 smallest ids are indexed, as no other can be in anyone's
-    list before these; the others take the first k of them.
+    list before these; the others take the first k of them. ``probes``: cells that a query visits; by default as many as ``visits_needed`` says.
     """
     spark = df.sparkSession
     schema = "item_id bigint, rank int, neighbour bigint, cosine float"
@@ -110,13 +147,15 @@ def nearest_neighbours(
 
     cells = min(-(-n // shard_vectors), SAMPLE // 64)
     if cells > 1:
-        rows = index.orderBy(F.xxhash64("k")).limit(SAMPLE).select("v").collect()  # bounded
-        centroids = centroid_tree(np.frombuffer(b"".join(bytes(r["v"]) for r in rows), np.float32).reshape(-1, dim), cells)
+        rows = index.orderBy(F.xxhash64("k")).limit(SAMPLE + QUERIES).select("k", "v").collect()  # bounded
+        centroids = centroid_tree(np.frombuffer(b"".join(bytes(r["v"]) for r in rows[:SAMPLE]), np.float32).reshape(-1, dim), cells)
         cells = len(centroids)
+        if probes is None:
+            probes = visits_needed(index, rows[-QUERIES:], centroids, k)
     else:
         centroids = np.zeros((1, dim), np.float32)
     c = spark.sparkContext.broadcast(centroids)
-    visits = min(probes, cells)
+    visits = min(probes or 1, cells)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -60,6 +60,13 @@ def test_recall_against_brute_force(spark, shard, probes):
     assert np.mean([len(set(want[i]) & {x[1] for x in got[i]}) / 10 for i in range(900)]) >= 0.9
 
 
+def test_recall_does_not_fall_with_the_number_of_cells(spark):
+    v = np.random.default_rng(4).normal(size=(3000, 48)).astype(np.float32)
+    out = nearest_neighbours(_frame(spark, [(i, x.tolist(), None, None) for i, x in enumerate(v)]), "item_id", "embedding", shard_vectors=100).collect()  # 30 cells
+    want = _brute(v / np.linalg.norm(v, axis=1, keepdims=True), 10)
+    assert sum(r["neighbour"] in want[r["item_id"]] for r in out) / want.size >= 0.9
+
+
 def test_unusable_vectors_copies_and_order(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [None, 1.0]), (9, [float("inf"), 1.0])]
     out = nearest_neighbours(_frame(spark, [(*r, None, None) for r in rows]), "item_id", "embedding").collect()
