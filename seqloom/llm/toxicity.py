@@ -165,10 +165,15 @@ def combine(tables: list[np.ndarray], one: np.ndarray, two: np.ndarray, three: n
     return np.log(p / (1 - p)) - base[1]
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """A model from labelled texts (1 = holds an abusive passage somewhere). Without both labels nothing is ever found."""
+def fit(texts: list[str], labels: list[int], weights: list[float] | None = None) -> Model:
+    """A model from labelled texts (1 = holds an abusive passage somewhere). Without both labels nothing is ever found.
+
+    ``weights``: how much each text counts for in the F1 that sets the cut, where the texts are a sample with other shares of the
+    labels than the whole. The tables count all texts alike: held-out documents are told apart better by a mix richer in positives.
+    """
     toks = [words(t) for t in texts]
     y = np.array(labels, bool)
+    w_doc = np.ones(len(y)) if weights is None else np.array(weights, float)
     df = Counter(w for ws in toks for w in set(ws))
     keep = [w for w, n in df.most_common(VOCABULARY) if n >= 2 and w[0] not in ".!?。！？\n" and not w.isdigit()]
     model = Model({w: FIRST + k for k, w in enumerate(keep)}, [])
@@ -182,8 +187,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     fold = np.arange(len(docs)) % FOLDS
     sizes = (size1, 1 << BITS, 1 << BITS)
 
-    def counts(mask: np.ndarray, weight: np.ndarray | None = None) -> list[np.ndarray]:
-        return [np.bincount(f[mask], weights=None if weight is None else weight[mask], minlength=m).astype(np.float32) for f, m in zip((one, two, three), sizes)]
+    def counts(mask: np.ndarray) -> list[np.ndarray]:
+        return [np.bincount(f[mask], minlength=m).astype(np.float32) for f, m in zip((one, two, three), sizes)]
 
     def tables(pos: list[np.ndarray], all_: list[np.ndarray], offset: float) -> list[np.ndarray]:
         base = float(pos[0].sum() + 0.5) / float(all_[0].sum() + 1.0)
@@ -239,17 +244,24 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     else:
         model.lam, model.k = 1.0, 1.0 - float(np.log(n0))
     sig = np.array([model.significance(b, n) for b, n in zip(best, lens)])
+    model.cut = best_cut(sig, y, w_doc)
+    return model
+
+
+def best_cut(sig: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    """The significance from which on calling texts positive gives the highest weighted F1."""
     order = np.argsort(-sig)
-    tp = np.cumsum(y[order])
-    f1 = 2 * tp / (np.arange(1, len(y) + 1) + y.sum())
+    tp = np.cumsum((weights * y)[order])
+    f1 = 2 * tp / (np.cumsum(weights[order]) + (weights * y).sum())
     top = int(np.argmax(f1))
     near = sig[order[min(top + 1, len(order) - 1)]]
-    model.cut = float((sig[order[top]] + near) / 2)
-    return model
+    return float((sig[order[top]] + near) / 2)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, y`` of at most FIT_POSITIVES + FIT_NEGATIVES labelled documents, chosen by a hash of their id.
+    """``text, y, w`` of at most FIT_POSITIVES + FIT_NEGATIVES labelled documents, chosen by a hash of their id.
+
+    ``w`` weighs both labels back to their shares of all labelled documents; it is 1 on average, and always 1 where all are taken.
 
     A document's label is the majority of its distinct judgements; null judgements and ties say nothing. Texts over FIT_CHARS
     characters are left out of the sample (they are scored like all others).
@@ -257,10 +269,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     votes = labels.select("doc_id", "annotator", "toxic").distinct().filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     share = votes.groupBy("doc_id").agg(F.avg("toxic").alias("v")).filter("v <> 0.5").select("doc_id", (F.col("v") > 0.5).cast("int").alias("y"))
     h = F.xxhash64("doc_id")
-    parts = [share.filter(F.col("y") == y).orderBy(h).limit(n) for y, n in ((1, FIT_POSITIVES), (0, FIT_NEGATIVES))]
+    every = {r["y"]: r["count"] for r in share.groupBy("y").count().collect()}
+    most = {1: FIT_POSITIVES, 0: FIT_NEGATIVES}
+    thin = max(sum(every.values()), 1) / max(sum(min(n, most[y]) for y, n in every.items()), 1)
+    parts = [share.filter(F.col("y") == y).orderBy(h).limit(n).withColumn("w", F.lit(max(every.get(y, 0) / n, 1.0) / thin)) for y, n in most.items()]
     ids = parts[0].unionByName(parts[1])
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS))
-    return texts.join(F.broadcast(ids), "doc_id").orderBy(h).select("text", "y")
+    return texts.join(F.broadcast(ids), "doc_id").orderBy(h).select("text", "y", "w")
 
 
 @lru_cache(maxsize=2)
@@ -272,7 +287,7 @@ def _model(name: str) -> Model:
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[str, Model]:
     """Fits the model on the sample and brings it to the executors."""
     rows = labelled_sample(docs, labels).collect()
-    model = fit([r["text"] for r in rows], [r["y"] for r in rows])
+    model = fit([r["text"] for r in rows], [r["y"] for r in rows], [r["w"] for r in rows])
     model.memo = {}
     buf = io.BytesIO()
     pickle.dump(model, buf, protocol=pickle.HIGHEST_PROTOCOL)

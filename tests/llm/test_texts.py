@@ -1,5 +1,6 @@
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -159,6 +160,20 @@ def test_held_out_accuracy_and_spelling_tricks():
         assert m.passages(f"The box was intact. {odd}. Delivery took days.")[0] >= m.cut, odd
 
 
+def test_cut_follows_the_shares_of_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(tox, "FIT_POSITIVES", 60)
+    monkeypatch.setattr(tox, "FIT_NEGATIVES", 90)
+    train = _corpus(1500, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in train], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in train], "doc_id long, annotator int, toxic int")
+    rows = tox.labelled_sample(docs, labels).collect()
+    assert sum(r["y"] for r in rows) == 60 and len(rows) == 150
+    assert abs(sum(r["w"] * r["y"] for r in rows) / sum(r["w"] for r in rows) - sum(y for *_, y in train) / 1500) < 1e-9
+    # 40 sure texts, then 28 of which more than half are positive in the sample, but few in the whole
+    sig, y = np.arange(148.0, 0, -1), np.array([1] * 40 + [0, 1, 1, 1] * 7 + [0] * 80)
+    assert tox.best_cut(sig, y, np.ones(148)) == 80.5 and tox.best_cut(sig, y, np.where(y == 1, 0.1, 1.5)) == 108.5
+
+
 def test_words():
     assert tox.words("Don't g o o d b y e n.u.d.e!") == ["don't", "goodbye", "nude", "!"]
     assert tox.words("") == [] and tox.plain("h0rr1bl3") == "horible"
