@@ -95,7 +95,8 @@ def split_packed(df: DataFrame, ids: list[str], field: str, em_rounds: int = 2,
         return s.map(lambda x: [{"quoted": q, "value": v} for q, v in atoms(x)])
 
     rows = df.select(*ids, field).filter(F.col(field).isNotNull()).distinct()
-    parsed = rows.select(*ids, parse(field).alias("_atoms")).filter(F.size("_atoms") > 0)
+    # rows that share their ids stay apart by a hash of the field
+    parsed = rows.select(*ids, F.sha2(F.col(field).cast("string"), 256).alias("_row"), parse(field).alias("_atoms")).filter(F.size("_atoms") > 0)
     exploded = parsed.select(F.explode("_atoms").alias("a")).select("a.quoted", "a.value")
     counts = exploded.groupBy("quoted", "value").agg(F.count(F.lit(1)).alias("w"))
 
@@ -115,12 +116,12 @@ def split_packed(df: DataFrame, ids: list[str], field: str, em_rounds: int = 2,
         pieces = parsed.select(*ids, F.col("_atoms.value").alias("_v"))
     else:
         table = _segmentations(counts, open_lengths, known, em_rounds)
-        pos = parsed.select(*ids, F.posexplode("_atoms").alias("_p", "a"))
+        pos = parsed.select(*ids, "_row", F.posexplode("_atoms").alias("_p", "a"))
         key = F.when(~F.col("a.quoted"), F.col("a.value"))
         pieces = (
             pos.join(table, key == table["run"], "left")
-            .select(*ids, "_p", F.coalesce("parts", F.array("a.value")).alias("parts"))
-            .groupBy(*ids)
+            .select(*ids, "_row", "_p", F.coalesce("parts", F.array("a.value")).alias("parts"))
+            .groupBy(*ids, "_row")
             .agg(F.array_sort(F.collect_list(F.struct("_p", "parts"))).alias("_s"))
             .select(*ids, F.flatten("_s.parts").alias("_v"))
         )

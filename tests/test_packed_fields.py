@@ -41,6 +41,12 @@ def test_runs_without_separators_follow_the_column(spark, rows):
     assert got == [(100, 1, "QQQ"), (99, 1, "AB1"), (99, 2, "CD22"), (99, 3, "XY9")]
 
 
+def test_rows_of_one_id_stay_apart_where_runs_are_split(spark, rows):
+    data = [(i, "AB1,CD22") for i in range(50)] + [(99, "AB1CD22,XY9"), (99, "XY9"), (None, "AB1"), (None, "CD22,AB1")]
+    got = rows(split_packed(spark.createDataFrame(data, "id long, f string"), ["id"], "f").filter("id IS NULL OR id = 99"))
+    assert got == [(99, 1, "AB1"), (99, 1, "XY9"), (99, 2, "CD22"), (99, 3, "XY9"), (None, 1, "AB1"), (None, 1, "CD22"), (None, 2, "AB1")]
+
+
 def test_quoted_spans_stay_whole(spark, rows):
     data = [(i, "AB1,CD22") for i in range(50)] + [(99, "'AB1CD22'")]
     assert (99, 1, "AB1CD22") in rows(split_packed(spark.createDataFrame(data, "id long, f string"), ["id"], "f"))
