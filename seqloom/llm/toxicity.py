@@ -302,7 +302,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     significant one (null if there is none). Texts are scanned whole. Without usable labels nothing is toxic.
     """
     name, _ = fitted(docs, labels)
-    rows = docs.select("doc_id", "source", "text")
+    rows = docs.select("doc_id", "source", "text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(name)
@@ -317,4 +317,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], names=["doc_id", "source", "score", "toxic", "n_passages", "passage"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, score double, toxic boolean, n_passages int, passage string").distinct()
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, score double, toxic boolean, n_passages int, passage string")

@@ -188,6 +188,12 @@ def test_cut_follows_the_shares_of_all_labels(spark, monkeypatch):
     assert tox.best_cut(sig, y, np.ones(148)) == 80.5 and tox.best_cut(sig, y, np.where(y == 1, 0.1, 1.5)) == 108.5
 
 
+def test_rows_without_id_count_by_their_text(spark):
+    docs = spark.createDataFrame([(None, "s", "a box"), (None, "s", "a book"), (None, "s", "a book"), (1, "s", "a box")], "doc_id long, source string, text string")
+    labels = spark.createDataFrame([], "doc_id long, annotator int, toxic int")
+    assert tox.toxicity(docs, labels).count() == 3
+
+
 def test_words():
     assert tox.words("Don't g o o d b y e n.u.d.e!") == ["don't", "goodbye", "nude", "!"]
     assert tox.words("") == [] and tox.plain("h0rr1bl3") == "horible"
