@@ -26,7 +26,7 @@ def kcore_one_pass(seqs: DataFrame, user: str, seq: str, k: int = 5, min_len: in
     return kept.filter(F.size(seq) >= max(k, min_len))
 
 
-def bipartite_kcore(pairs: DataFrame, user: str, item: str, min_users: int, min_items: int, iterative: bool = False, max_rounds: int = 100) -> DataFrame:
+def bipartite_kcore(pairs: DataFrame, user: str, item: str, min_users: int, min_items: int, iterative: bool = False) -> DataFrame:
     """Drops items with few distinct users, then users with few distinct items; once, or until nothing changes.
 
     No-op if both thresholds are at most 1. Each round is written to the shared folder, so lineage doesn't grow.
@@ -34,7 +34,7 @@ def bipartite_kcore(pairs: DataFrame, user: str, item: str, min_users: int, min_
     if min_users <= 1 and min_items <= 1:
         return pairs
     now, n = pairs, None
-    for _ in range(max_rounds if iterative else 1):
+    while True:
         now = now.join(_often(now, item, min_users, user), item, "left_semi")
         now = now.join(_often(now, user, min_items, item), user, "left_semi")
         if not iterative:
