@@ -69,12 +69,22 @@ def p4_item_sessions(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("item").agg(F.sum("c").alias("n_values"), F.count("session_id").alias("n_sessions"), F.round(F.sum("s") / F.sum("c"), 6).alias("mean_pos"))
 
 
+def p4_learned_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Values of letters and digits, packed anew with marks that no list names, and every fifth session's without any mark; split again."""
+    rows = p4_found(spark, d).filter(F.col("item").rlike("^[A-Z0-9]+$") & F.col("session_id").isNotNull())
+    lists = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("s"))
+    mark = F.element_at(F.lit(["", "~", "/", "·", "::"]), (F.pmod("session_id", F.lit(5)) + 1).cast("int"))
+    packed = lists.select("session_id", F.array_join(F.col("s.item"), "\u0001").alias("t"), mark.alias("m"))
+    return split_packed(packed.select("session_id", F.replace("t", F.lit("\u0001"), F.col("m")).alias("prev_items")), ["session_id"], "prev_items")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_sequence_item_stats": p2_sequence_item_stats,
     "p2_graph_source_stats": p2_graph_source_stats,
     "p4_found": p4_found,
     "p4_item_sessions": p4_item_sessions,
+    "p4_learned_splits": p4_learned_splits,
 }
 
 _ELEMENTS = """e AS (
@@ -121,6 +131,9 @@ SELECT s.*, m.mode_count FROM (
   FROM g WHERE src IS NOT NULL GROUP BY src) s
 LEFT JOIN (SELECT src, edge_count AS mode_count FROM c QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, edge_count) = 1) m USING (src)""",
     "p4_found": f"WITH {_P4} SELECT session_id, pos, item FROM p4",
+    "p4_learned_splits": f"""WITH {_P4}
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY pos, item) AS pos, item FROM p4
+WHERE session_id IS NOT NULL AND regexp_full_match(item, '[A-Z0-9]+')""",
     "p4_item_sessions": f"""WITH {_P4}, per AS (SELECT item, session_id, count(*) AS c, sum(pos) AS s FROM p4 GROUP BY ALL)
 SELECT item, CAST(sum(c) AS BIGINT) AS n_values, count(session_id) AS n_sessions, round(sum(s) / sum(c), 6) AS mean_pos FROM per GROUP BY item""",
 }
