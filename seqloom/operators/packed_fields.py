@@ -349,7 +349,6 @@ def _segmentations(lexicon: DataFrame, rounds: int) -> DataFrame:
 
     cand = cut(runs.mapInArrow(candidates, "rid string, value string"))
     weights = usable.select("value", (F.col("w") + F.col("q")).cast("double").alias("c"), F.lit(True).alias("alone"))
-    alone = usable.select("value", F.lit(True).alias("alone"))
 
     def lattices(weights_: DataFrame, some: DataFrame, how: str) -> DataFrame:
         known = cand.join(weights_, "value").groupBy("rid").agg(F.collect_list(F.struct("value", "c", "alone")).alias("known"))  # at most length x lengths of the run
@@ -357,25 +356,28 @@ def _segmentations(lexicon: DataFrame, rounds: int) -> DataFrame:
 
     if not cand.isEmpty():
         opened = runs.join(cand.select("rid").distinct(), "rid", "left_semi")
-        fixed = usable.join(opened.select(F.col("run").alias("value")), "value", "left_anti").select("value", (F.col("w") + F.col("q")).cast("double").alias("c"))
+        fixed = usable.join(opened.select(F.col("run").alias("value")), "value", "left_anti").select("value", (F.col("w") + F.col("q")).cast("double").alias("c")).withColumn("own", F.col("c"))
         for _ in range(rounds):
             now = shared(spans)
 
             def learn(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     c: Counter = Counter()
+                    own: Counter = Counter()
                     joints = 0.0
                     for run, w, q, known in zip(*[b.column(k).to_pylist() for k in ("run", "w", "q", "known")]):
                         got, j = expected(run, others(run, w, known), now.value, whole_score(run, w, q, now.value), w)
                         joints += j
                         c.update(got)
                         c[run] += q
-                    yield pa.RecordBatch.from_arrays([pa.array([*c, None], pa.string()), pa.array([*c.values(), joints], pa.float64())], names=["value", "c"])
+                        own[run] += got[run] + q
+                    cols = [*c, None], [*c.values(), joints], [*(own.get(v, 0.0) for v in c), 0.0]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.float64(), pa.float64()))], names=["value", "c", "own"])
 
-            got = cut(lattices(weights, opened, "left").mapInArrow(learn, "value string, c double").groupBy("value").agg(F.sum("c").alias("c")))
+            got = cut(lattices(weights, opened, "left").mapInArrow(learn, "value string, c double, own double").groupBy("value").agg(F.sum("c").alias("c"), F.sum("own").alias("own")))
             glued = got.filter("value IS NULL").agg(F.sum("c")).first()[0] or 0.0
-            weights = fixed.unionByName(got.filter("value IS NOT NULL AND c > 1e-6")).groupBy("value").agg(F.sum("c").alias("c"))
-            weights = cut(weights.join(alone, "value", "left").select("value", "c", F.coalesce("alone", F.lit(False)).alias("alone")))
+            weights = fixed.unionByName(got.filter("value IS NOT NULL AND c > 1e-6")).groupBy("value").agg(F.sum("c").alias("c"), F.sum("own").alias("own"))
+            weights = cut(weights.select("value", "c", (F.col("own") > 0.5).alias("alone")))
             total, fresh = weights.agg(F.sum("c"), F.sum(F.when(F.col("c") <= 1.5, 1.0).otherwise(0.0))).first()
             sizes_now = {r["k"]: r["n"] for r in weights.groupBy(F.length("value").alias("k")).agg(F.sum("c").alias("n")).collect()}
             kept = {k: sizes_now.get(k, 0.0) or 1e-3 for k in lengths}  # the lattice keeps its lengths, only their chances change
