@@ -7,16 +7,18 @@ being level 0; the counts live in one array by level.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.runtime import cut
 
 CAPACITY = 2048
-#: Containers' worth of tokens in a shard. More make fuller containers, fewer spread over more tasks.
-SHARD_CONTAINERS = 4096
+#: Containers' worth of tokens, and documents with tokens, in a shard. More make fuller containers, fewer spread over more tasks.
+SHARD_CONTAINERS, SHARD_ROWS = 4096, 262_144
 
 
 class SumOfSquares:
@@ -51,7 +53,7 @@ class SumOfSquares:
 
 
 def pack_shard(keys: np.ndarray, sizes: np.ndarray, capacity: int) -> list[tuple]:
-    """``(key, part, size, container)`` of one shard, in the order given. Sizes over the capacity are cut into full parts and a rest; size 0 goes to container 0."""
+    """``(key, part, size, container)`` of one shard, placed one after another in the order given. Sizes over the capacity are cut into full parts and a rest; size 0 goes to container 0."""
     sos, out = SumOfSquares(capacity), []
     for key, size in zip(keys, sizes):
         size, part = int(size), 0
@@ -63,26 +65,32 @@ def pack_shard(keys: np.ndarray, sizes: np.ndarray, capacity: int) -> list[tuple
     return out
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, shard_containers: int = SHARD_CONTAINERS, order: Column | None = None) -> DataFrame:
+def pack(
+    sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, shard_containers: int = SHARD_CONTAINERS, shard_rows: int = SHARD_ROWS, order: Sequence[Column | str] | None = None
+) -> DataFrame:
     """``key, part, n_tokens, container`` of each part of each document.
 
     Containers hold at most ``capacity`` tokens; only documents over it have more than one part. Documents are
-    spread over shards by a hash of their id, each with about ``shard_containers`` containers, and packed within
-    their shard; the loss at the end of a shard is a few containers. Null sizes count as 0, and a
-    document of size 0 takes no room: it is given its shard's first container. An empty table gives no rows.
-    The number of shards follows from the tokens of all documents and from nothing else.
+    spread over shards by a hash of their id, each with about ``shard_containers`` containers and at most about ``shard_rows`` documents, and
+    within their shard they are placed online, one after another: in the order of ``order``, by default as they arrive, by id.
+    The loss at the end of a shard is a few containers. Null sizes count as 0, and a document of size 0 takes no room: it is
+    given its shard's first container without passing through the packing. An empty table gives no rows. The number of shards
+    follows from the tokens and documents of the whole table and from nothing else.
     """
-    rows = cut(sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n")))
-    total = rows.agg(F.sum("n").alias("t")).first()["t"] or 0
-    shards = max(1, -(-total // (capacity * shard_containers)))
+    rows = cut(sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"), F.struct(*(order or [key])).alias("o")))
+    total, many = rows.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = max(1, -(-total // (capacity * shard_containers)), -(-many // shard_rows))
     kind = dict(rows.dtypes)["k"]
-    mixed = rows.withColumn("h", F.xxhash64("k")).withColumn("shard", F.pmod(F.col("h"), F.lit(shards)))
+    mixed = rows.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "h"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values("p", kind="stable")
         out = pd.DataFrame(pack_shard(pdf["k"].to_numpy(), pdf["n"].to_numpy(), capacity), columns=["k", "part", "n", "c"])
         out["c"] += int(pdf["shard"].iloc[0]) << 32
         return out
 
-    packed = mixed.groupBy("shard").applyInPandas(run, f"k {kind}, part int, n bigint, c bigint")
-    return packed.select(F.col("k").alias(key), "part", F.col("n").alias(size), F.col("c").alias("container"))
+    # the order may be of any kind, so Spark sorts; a shard's rows are bounded
+    placed = mixed.filter("n > 0").withColumn("p", F.row_number().over(Window.partitionBy("shard").orderBy("o", F.xxhash64("k"))))
+    packed = placed.select("k", "n", "shard", "p").groupBy("shard").applyInPandas(run, f"k {kind}, part int, n bigint, c bigint")
+    empty = mixed.filter("n = 0").select("k", F.lit(0).alias("part"), "n", F.shiftleft("shard", 32).alias("c"))
+    return packed.unionByName(empty).select(F.col("k").alias(key), "part", F.col("n").alias(size), F.col("c").alias("container"))

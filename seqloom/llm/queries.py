@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.cooccurrence import pair_lift
 from seqloom.llm.encoding_repair import repair_texts
-from seqloom.llm.lookalike import same_look, visible_forms
+from seqloom.llm.lookalike import look_classes, same_look, visible_forms
 from seqloom.llm.neighbours import nearest_neighbours
 from seqloom.llm.packing import CAPACITY, pack
 from seqloom.llm.paths import frequent_paths
@@ -68,6 +68,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look(table(spark, d, "items"), "id", "text")
 
 
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Items that look like others but are stored differently, with their class and the number of such others."""
+    return look_classes(table(spark, d, "items"), "id", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of each document."""
     return token_ids(table(spark, d, "documents"))
@@ -120,6 +125,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_repairs": p6_repairs,
     "p7_found": p7_found,
+    "p7_classes": p7_classes,
     "p7_forms": p7_forms,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,

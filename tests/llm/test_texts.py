@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 
 from seqloom.llm import toxicity as tox
 from seqloom.llm.encoding_repair import repair_texts
-from seqloom.llm.lookalike import same_look, table, transducer, visible_forms
+from seqloom.llm.lookalike import keys, look_classes, same_look, table, transducer, visible_forms
 from seqloom.llm.segments import maximal_segments
 
 
@@ -85,6 +85,32 @@ def test_table_has_no_conflicts():
     assert not {"a", "A", "0", "é"} & set(t) - {"é"}
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.one_of(st.characters(), st.sampled_from("eаеԱᎪᴄ ̧́̈ \u200d\u200b　ｶﾞ👩🚀️한가ㄱㅏǃ∶")), max_size=12))
+def test_automaton_agrees_with_the_rules(s):
+    t = transducer()
+    assert t.form(s) == " ".join(x for x in t.exact(s).split(" ") if x)
+
+
+def test_longest_key_wins():
+    k = keys()
+    assert len(k["e\u0301"]) == 1 and k["е\u0301"] == "é"  # Latin and Cyrillic base
+    assert transducer().read("e\u0301x") == "éx" and k["U\u0308\u0304"] == "Ǖ"
+    assert transducer().form("ᎪᏴՕⲞᴠ∶ǃ") == "ABOOv:!"
+    assert transducer().form("e\u0323\u0301") == transducer().form("e\u0301\u0323")  # in an order that no key has
+
+
+def test_classes_count_their_links(spark, rows):
+    data = [(1, "The é"), (2, "Тhe é"), (3, "The é"), (4, "alone"), (5, "the é"), (2, "Тhe é"), (None, "The\xa0é"), (6, None), (7, "Тhe e\u0301")]
+    got = rows(look_classes(spark.createDataFrame(data, "id long, text string"), "id", "text"))
+    assert got == [(1, 1, 4, 2), (2, 1, 4, 3), (3, 1, 4, 2), (7, 1, 4, 3)]
+
+
+def test_a_large_class_is_spread(spark):
+    df = spark.range(60).selectExpr("id", "concat('x', repeat('\u200b', int(id % 3)), 'y') AS text")
+    assert same_look(df, "id", "text", per_task=7).count() == same_look(df, "id", "text").count() == 60 * 59 // 2 - 3 * (20 * 19 // 2)
+
+
 def test_pairs_against_brute_force(spark, rows):
     data = [(1, "The é"), (2, "Тhe é"), (3, "The é"), (4, "The é"), (5, "the é"), (1, "The é"), (6, None), (None, "The\xa0é"), (7, ""), (8, "​"), (9, "other"), (10, "x" * 50_000), (11, "x" * 50_000 + "​")]
     df = spark.createDataFrame([(i, t, "f") for i, t in data], "id long, text string, f string")

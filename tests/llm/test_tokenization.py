@@ -109,3 +109,14 @@ def test_pack_over_shards(spark):
     assert pack(df.limit(0)).collect() == []
     null = spark.createDataFrame([(1, None)], "doc_id long, n_tokens long")
     assert [tuple(r) for r in pack(null).collect()] == [(1, 0, 0, 0)]
+
+
+def test_pack_in_a_given_order_and_with_bounded_shards(spark):
+    rows = [(i, n, 100 - i) for i, n in enumerate([7, 5, 3, 9, 1, 6] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, rank long")
+    for order in (None, ["rank"]):
+        placed = sorted(rows, key=lambda r: r[2] if order else r[0])
+        want = pack_shard([r[0] for r in placed], [r[1] for r in placed], 10)
+        assert sorted(tuple(r) for r in pack(df, capacity=10, order=order).collect()) == sorted(want)
+    shards = {r["container"] >> 32 for r in pack(df, capacity=10, shard_rows=8).collect()}
+    assert len(shards) > 1
