@@ -12,7 +12,6 @@ from __future__ import annotations
 import io
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,10 +25,10 @@ from seqloom.llm.lookalike import table as visible_table
 from seqloom.llm.segments import maximal_segments
 from seqloom.runtime import distribute, local_copy
 
-#: Bounds of the labelled sample that the model is fitted on, and the longest text in it, in characters.
-FIT_POSITIVES, FIT_NEGATIVES, FIT_CHARS = 6_000, 9_000, 20_000
-#: Most words of the model, and the bits of the hashed pair and triple tables.
-VOCABULARY, BITS = 60_000, 21
+#: Bounds of the labelled sample that the model is fitted on.
+FIT_POSITIVES, FIT_NEGATIVES = 6_000, 9_000
+#: Bits of the hashed pair and triple tables.
+BITS = 21
 ROUNDS, FOLDS = 5, 4
 PRIORS = (4.0, 3.0, 2.0)  # strength of the prior of words, pairs and triples
 LOW, HIGH, SHIFT = -2.5, 5.0, 0.8
@@ -171,13 +170,19 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     ``weights``: how much each text counts for in the F1 that sets the cut, where the texts are a sample with other shares of the
     labels than the whole. The tables count all texts alike: held-out documents are told apart better by a mix richer in positives.
     """
-    toks = [words(t) for t in texts]
     y = np.array(labels, bool)
     w_doc = np.ones(len(y)) if weights is None else np.array(weights, float)
-    df = Counter(w for ws in toks for w in set(ws))
-    keep = [w for w, n in df.most_common(VOCABULARY) if n >= 2 and w[0] not in ".!?。！？\n" and not w.isdigit()]
+    numbers: dict[str, int] = {}  # each word is kept once, texts are arrays of numbers
+    toks = [np.array([numbers.setdefault(w, len(numbers)) for w in words(t)], np.int32) for t in texts]
+    df = np.zeros(len(numbers), np.int64)
+    for ws in toks:
+        df[np.unique(ws)] += 1
+    seen = list(numbers)
+    keep = [seen[k] for k in np.argsort(-df, kind="stable") if df[k] >= 2 and seen[k][0] not in ".!?。！？\n" and not seen[k].isdigit()]
     model = Model({w: FIRST + k for k, w in enumerate(keep)}, [])
-    docs = [np.fromiter(map(model.id_of, ws), np.int64, len(ws)) for ws in toks]
+    id_of = np.array([model.id_of(w) for w in seen], np.int64)
+    docs = [id_of[ws] if len(ws) else np.zeros(0, np.int64) for ws in toks]
+    del toks, numbers, seen
     size1 = FIRST + len(keep)
     feats = [features(d) for d in docs]
     lens = np.array([len(d) for d in docs], np.int64)
@@ -206,14 +211,12 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None)
     for r in range(ROUNDS):
         rate = inside[used].mean()
         offset = float(np.log(rate / (1 - rate))) + 1.2 if r == 0 else -SHIFT
-        pos_f = [counts(inside & used & (fold[owner] == k)) for k in range(FOLDS)]
-        all_f = [counts(used & (fold[owner] == k)) for k in range(FOLDS)]
-        pos_a, all_a = ([sum(x[j] for x in c) for j in range(3)] for c in (pos_f, all_f))
         s = np.empty(len(owner))
-        for k in range(FOLDS):  # each document is scored without its own fold
+        for k in range(FOLDS):  # each document is scored without its own fold; one fold's tables are held at a time
             m = fold[owner] == k
-            t = tables([a - b for a, b in zip(pos_a, pos_f[k])], [a - b for a, b in zip(all_a, all_f[k])], offset)
+            t = tables(counts(inside & used & ~m), counts(used & ~m), offset)
             s[m] = combine(t, one[m], two[m], three[m])
+            del t
         s = np.clip(s, LOW, HIGH)
         inside = np.zeros(len(owner), bool)
         used = np.ones(len(owner), bool)
@@ -263,8 +266,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``w`` weighs both labels back to their shares of all labelled documents; it is 1 on average, and always 1 where all are taken.
 
-    A document's label is the majority of its distinct judgements; null judgements and ties say nothing. Texts over FIT_CHARS
-    characters are left out of the sample (they are scored like all others).
+    A document's label is the majority of its distinct judgements; null judgements and ties say nothing. Sampled texts are taken whole.
     """
     votes = labels.select("doc_id", "annotator", "toxic").distinct().filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     share = votes.groupBy("doc_id").agg(F.avg("toxic").alias("v")).filter("v <> 0.5").select("doc_id", (F.col("v") > 0.5).cast("int").alias("y"))
@@ -274,7 +276,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     thin = max(sum(every.values()), 1) / max(sum(min(n, most[y]) for y, n in every.items()), 1)
     parts = [share.filter(F.col("y") == y).orderBy(h).limit(n).withColumn("w", F.lit(max(every.get(y, 0) / n, 1.0) / thin)) for y, n in most.items()]
     ids = parts[0].unionByName(parts[1])
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS))
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     return texts.join(F.broadcast(ids), "doc_id").orderBy(h).select("text", "y", "w")
 
 

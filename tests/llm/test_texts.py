@@ -158,17 +158,21 @@ def test_round_trip_of_wrong_encodings(spark):
     assert repair_texts(df.limit(0), "id", "text").collect() == []
 
 
-def test_rare_characters_are_known(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1_000_000, 8])
+def test_rare_characters_are_known(spark, monkeypatch, most):
+    """Pairs beyond the bound of the table are left to the counts of their characters, which are always exact."""
     from seqloom.llm import encoding_repair as er
 
     seen = []
     distribute = er.distribute
     monkeypatch.setattr(er, "distribute", lambda s, data, suffix: seen.append(data) or distribute(s, data, suffix))
+    monkeypatch.setattr(er, "MAX_PAIRS", most)
     df = spark.createDataFrame([(i, f"{i:04d} " + "ab" * 15_000) for i in range(100)] + [(999, "ŵy")], "id long, text string")  # 3 million pairs, one ŵ
     repair_texts(df, "id", "text")
     monkeypatch.setattr(er, "local_copy", lambda name: io.BytesIO(seen[0]))
     m = er._repairer.__wrapped__("").m
-    assert ("ŵ", "y") not in m.pair and m.first["ŵ"] == m.second["ŵ"] == 1 and m.total == sum(m.second.values())
+    assert (("ŵ", "y") in m.pair) == (most > 8) and len(m.pair) <= most and ("a", "b") in m.pair
+    assert m.first["ŵ"] == m.second["ŵ"] == 1 and m.total == sum(m.second.values())
 
 
 # -- toxicity --------------------------------------------------------------------------------------------
