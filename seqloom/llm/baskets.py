@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.runtime import cut
+
 
 def user_rows(df: DataFrame, user: str, seq: str) -> tuple[DataFrame, DataFrame]:
     """Distinct rows of a user table, as ``(single, several)``.
@@ -14,9 +16,9 @@ def user_rows(df: DataFrame, user: str, seq: str) -> tuple[DataFrame, DataFrame]
     The grouping keeps a count and one row per user, so a user with very many rows stays cheap.
     """
     rows = df.select(F.col(user).alias("u"), F.col(seq).alias("s")).filter(F.col("u").isNotNull() & (F.size("s") > 0)).distinct()
-    per = rows.groupBy("u").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("s"))
+    per = cut(rows.groupBy("u").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("s")))  # read many times
     single = per.filter("c = 1").select("u", "s")
-    several = rows.join(per.filter("c > 1").select("u"), "u", "left_semi")
+    several = cut(rows.join(per.filter("c > 1").select("u"), "u", "left_semi"))
     return single, several
 
 

@@ -1,8 +1,8 @@
 """Items that appear together: basket collapsing.
 
 Each user's items become one sorted, deduplicated basket; identical baskets collapse into one with a weight,
-and pairs are enumerated once per distinct basket and summed by weight. Baskets over ``chunk`` items are cut into chunks, and
-pairs of chunks are enumerated in rows of their own, so that no task expands a huge basket alone.
+and pairs are enumerated once per distinct basket and summed by weight. A basket with many pairs is enumerated in as many parts as
+these ask for, so that no task expands a huge basket alone.
 """
 
 from __future__ import annotations
@@ -11,29 +11,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.baskets import user_items, user_rows, user_total
+from seqloom.runtime import cut
 
+#: Pairs of one part of a basket, and items of a chunk of a user's rows.
+PART_PAIRS, CHUNK = 131_072, 256
 
-def _pairs_of_small(baskets: DataFrame) -> DataFrame:
-    """``a, b, w`` of weighted sorted baskets ``(b, w)``."""
-    first = baskets.select("w", F.col("b").alias("_b"), F.posexplode("b").alias("_p", "a"))
+
+def _pairs_of_arrays(baskets: DataFrame, tasks: int) -> DataFrame:
+    """``a, b, w`` of distinct sorted baskets ``(b, w)`` of any size."""
+    n = F.size("b").cast("bigint")
+    parts = F.ceil(n * (n - 1) / F.lit(2 * PART_PAIRS)).cast("int")
+    spread = baskets.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # baskets of like size would else lie together, as the grouping left them
+    spread = spread.repartition(tasks, F.xxhash64("b"), "part")
+    first = spread.select("w", "parts", "part", F.col("b").alias("_b"), F.posexplode("b").alias("_p", "a")).filter(F.pmod("_p", F.col("parts")) == F.col("part"))
     rest = F.slice("_b", F.col("_p") + 2, F.greatest(F.size("_b") - F.col("_p") - 1, F.lit(0)))
     return first.select("w", "a", F.explode(rest).alias("b"))
 
 
-def _pairs_of_large(rows: DataFrame, chunk: int) -> DataFrame:
-    """``a, b, w`` of ``(u, i, n)`` rows of users with ``n`` > ``chunk`` items, one row per pair of chunks."""
-    chunks = (
-        rows.withColumn("c", F.pmod(F.xxhash64("i"), F.ceil(F.col("n") / F.lit(chunk // 2))).cast("int"))
-        .groupBy("u", "c")
-        .agg(F.collect_list("i").alias("b"))
-    )
-    left, right = chunks.select("u", F.col("c").alias("c1"), F.col("b").alias("b1")), chunks.select("u", F.col("c").alias("c2"), F.col("b").alias("b2"))
-    both = left.join(right, "u").filter("c1 <= c2").select("c1", "c2", F.explode("b1").alias("x"), "b2")
-    flat = both.select("c1", "c2", "x", F.explode("b2").alias("y")).filter("(c1 < c2 AND x <> y) OR (c1 = c2 AND x < y)")
-    return flat.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(1).cast("bigint").alias("w"))
+def _collapsed_rows(items: DataFrame) -> DataFrame:
+    """``u, i, n, w``: of users with the same set of items (``u, i`` distinct) one stays, with the number of them.
+
+    Sets are told apart by their size and two sums of independent hashes, which are combined map-side, so no set is gathered.
+    """
+    h = F.xxhash64("i")
+    sign = items.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64("i", F.lit(1)).cast("decimal(38,0)")).alias("h2"))
+    kept = sign.groupBy("n", "h1", "h2").agg(F.min("u").alias("u"), F.count(F.lit(1)).alias("w")).select("u", "n", "w")
+    return items.join(kept, "u")
 
 
-def pair_lift(df: DataFrame, user: str, seq: str, min_users: int = 6, min_lift: float | None = None, chunk: int = 512) -> DataFrame:
+def _pairs_of_rows(rows: DataFrame) -> DataFrame:
+    """``a, b, w`` of ``(u, i, n, w)`` rows, one row per pair of chunks of a user's items, whatever their number."""
+    chunks = rows.withColumn("c", F.pmod(F.xxhash64("i"), F.ceil(F.col("n") / F.lit(CHUNK))).cast("int")).groupBy("u", "n", "w", "c").agg(F.collect_list("i").alias("b"))
+    chunks = chunks.withColumn("parts", F.ceil(F.col("n") / F.lit(16 * CHUNK)).cast("int"))
+    left = chunks.select("u", "w", F.col("c").alias("c1"), F.col("b").alias("b1"), F.floor(F.col("c") / 16).cast("int").alias("part"))
+    right = chunks.select("u", F.col("c").alias("c2"), F.col("b").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = left.join(right, ["u", "part"]).filter("c1 <= c2").select("w", "c1", "c2", F.explode("b1").alias("x"), "b2")
+    flat = both.select("w", "c1", "c2", "x", F.explode("b2").alias("y")).filter("(c1 < c2 AND x <> y) OR (c1 = c2 AND x < y)")
+    return flat.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w")
+
+
+def pair_lift(df: DataFrame, user: str, seq: str, min_users: int = 6, min_lift: float | None = None) -> DataFrame:
     """Pairs ``item_a < item_b`` that at least ``min_users`` users hold, with how far this exceeds chance.
 
     Columns: ``n_ab, n_a, n_b, n_users`` (distinct non-null users, each counted once, users without
@@ -45,26 +63,24 @@ def pair_lift(df: DataFrame, user: str, seq: str, min_users: int = 6, min_lift:
     n_ab <= min(n_a, n_b), their lift is at most n_users / max(n_a, n_b) < min_lift, so no pair is lost. At most
     min_lift * (mean basket size) items are that frequent, which bounds the broadcast set.
     """
+    spark = df.sparkSession
     single, several = user_rows(df, user, seq)
-    total = user_total(df, user)
-    ui = user_items(single, several)
-    items = ui.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    total = user_total(df, user).first()["n"] or 0
+    items = cut(user_items(single, several).groupBy("i").agg(F.count(F.lit(1)).alias("n")))
     several_ui = several.select("u", F.explode("s").alias("i")).filter(F.col("i").isNotNull()).distinct()
-    baskets = single.select("u", F.array_sort(F.array_compact(F.array_distinct("s"))).alias("b"))
+    baskets = single.select(F.array_sort(F.array_compact(F.array_distinct("s"))).alias("b"))
     if min_lift:
-        often = items.filter(F.col("n") * F.lit(min_lift) > total.select("n").scalar()).select("i")
-        set_ = often.agg(F.collect_set("i"))
-        baskets = baskets.withColumn("b", F.array_except("b", set_.scalar()))
-        several_ui = several_ui.join(F.broadcast(often), "i", "left_anti")
-    per_user = several_ui.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    several_ui = several_ui.join(per_user, "u")
-    long_single = baskets.filter(F.size("b") > chunk).select("u", F.size("b").cast("bigint").alias("n"), F.explode("b").alias("i"))
-    large = long_single.unionByName(several_ui.filter(F.col("n") > chunk).select("u", "n", "i"))
-    small = (
-        several_ui.filter(F.col("n") <= chunk).groupBy("u").agg(F.array_sort(F.collect_list("i")).alias("b")).select("b").unionByName(baskets.filter(F.size("b").between(2, chunk)).select("b"))
-    )
-    collapsed = small.filter(F.size("b") >= 2).groupBy("b").agg(F.count(F.lit(1)).alias("w"))
-    pairs = _pairs_of_small(collapsed).unionByName(_pairs_of_large(large, chunk)).groupBy("a", "b").agg(F.sum("w").alias("n_ab")).filter(F.col("n_ab") >= min_users)
+        often = [r["i"] for r in items.filter(F.col("n") * F.lit(min_lift) > F.lit(total)).select("i").collect()]  # bounded, see above
+        if often:
+            kind = dict(items.dtypes)["i"]
+            baskets = baskets.withColumn("b", F.array_except("b", F.lit(often).cast(f"array<{kind}>")))
+            several_ui = several_ui.join(F.broadcast(spark.createDataFrame([(i,) for i in often], f"i {kind}")), "i", "left_anti")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    collapsed = baskets.filter(F.size("b") >= 2).groupBy("b").agg(F.count(F.lit(1)).alias("w"))
+    pairs = _pairs_of_arrays(collapsed, tasks)
+    if not several.isEmpty():
+        pairs = pairs.unionByName(_pairs_of_rows(_collapsed_rows(cut(several_ui))))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("w").alias("n_ab")).filter(F.col("n_ab") >= min_users)
     na = items.select(F.col("i").alias("a"), F.col("n").alias("n_a"))
     nb = items.select(F.col("i").alias("b"), F.col("n").alias("n_b"))
     n = F.col("n_users")
@@ -72,7 +88,7 @@ def pair_lift(df: DataFrame, user: str, seq: str, min_users: int = 6, min_lift:
     out = (
         pairs.join(na, "a")
         .join(nb, "b")
-        .withColumn("n_users", total.scalar())
+        .withColumn("n_users", F.lit(total).cast("bigint"))
         .select(
             F.col("a").alias("item_a"),
             F.col("b").alias("item_b"),

@@ -20,26 +20,75 @@ from seqloom.llm.baskets import user_items, user_rows, user_total
 from seqloom.runtime import cut
 
 
-def extend(seq: list[int], grown: dict[tuple, set] | None, length: int) -> set[tuple]:
-    """Paths of ``length`` different items in ``seq`` whose prefixes and suffixes are in ``grown`` (all frequent paths so far, or None)."""
+#: Bits of the table that tells which paths of a level can be frequent; its size is the same for any number of paths.
+TABLE_BITS = 1 << 22
+#: Paths that a task counts before it hands them on.
+FLUSH = 200_000
+_MOD, _STEP = 2_147_483_647, 1_000_003
+
+
+def path_hash(path: tuple, bits: int = TABLE_BITS) -> int:
+    """Place of a path of item codes in a table of so many bits; ``_hash_column`` is the same for a column."""
+    h = 0
+    for x in path:
+        h = (h * _STEP + x + 1) % _MOD
+    return h % bits
+
+
+def _hash_column(path: str):
+    step = lambda h, x: F.pmod(h * F.lit(_STEP) + x + F.lit(1), F.lit(_MOD))
+    return F.pmod(F.aggregate(path, F.lit(0).cast("bigint"), step), F.lit(TABLE_BITS))
+
+
+class Levels:
+    """Which paths can be frequent, by length: a bit table each. It may let a rare path pass, which is then counted and dropped, but never misses a frequent one."""
+
+    def __init__(self, tables: dict[int, bytes] | None = None):
+        self.tables = tables or {}
+
+    @classmethod
+    def of(cls, paths) -> Levels:
+        out: dict[int, bytearray] = {}
+        for p in paths:
+            h = path_hash(p)
+            out.setdefault(len(p), bytearray(TABLE_BITS // 8))[h >> 3] |= 1 << (h & 7)
+        return cls({n: bytes(t) for n, t in out.items()})
+
+    def holds(self, path: tuple) -> bool:
+        t = self.tables.get(len(path))
+        if t is None:
+            return True
+        h = path_hash(path, 8 * len(t))
+        return bool(t[h >> 3] >> (h & 7) & 1)
+
+
+def extend(seq: list[int], known: Levels, length: int) -> set[tuple]:
+    """Paths of ``length`` different items in ``seq`` whose prefixes and suffixes of two items or more can be frequent."""
     last = {x: p for p, x in enumerate(seq)}
     out: set[tuple] = set()
+    memo: dict[tuple, bool] = {}
+
+    def ok(path: tuple) -> bool:
+        got = memo.get(path)
+        if got is None:
+            got = memo[path] = known.holds(path)
+        return got
 
     def grow(prefix: tuple, end: int) -> None:
         more = [x for x, p in last.items() if p > end and x not in prefix]  # the induction: last position beyond the prefix end
         if len(prefix) + 1 == length:
-            out.update((*prefix, x) for x in more if grown is None or length <= 2 or (*prefix[1:], x) in grown)
+            out.update((*prefix, x) for x in more if length <= 2 or ok((*prefix[1:], x)))
             return
         for x in more:
             path = (*prefix, x)
-            if grown is None or len(path) < 2 or path in grown:
+            if len(path) < 2 or ok(path):
                 grow(path, seq.index(x, end + 1))
 
     grow((), -1)
     return out
 
 
-def frequent_paths(df: DataFrame, user: str, seq: str, min_share: float = 0.01, min_users: int = 5, lengths: tuple[int, int] = (3, 4), max_known: int = 2_000_000) -> DataFrame:
+def frequent_paths(df: DataFrame, user: str, seq: str, min_share: float = 0.01, min_users: int = 5, lengths: tuple[int, int] = (3, 4)) -> DataFrame:
     """``path`` (array of item ids), ``n_users`` and ``support`` of each frequent path within ``lengths``.
 
     A path is an order of different items, other items in between allowed. Its support counts distinct users, and
@@ -47,9 +96,8 @@ def frequent_paths(df: DataFrame, user: str, seq: str, min_share: float = 0.01,
     ``min_users``. Null elements are skipped, repeated rows and a user's further rows never count a user twice,
     an empty table gives no rows.
 
-    Bounds: at most (mean distinct items per user) / min_share items are frequent, and likewise paths of each length; they
-    are sent to the tasks to prune the next level. Should a level hold over ``max_known`` paths, the next level is
-    counted without that pruning, which is slower but equally exact.
+    Bounds: at most (mean distinct items per user) / min_share items are frequent, and only these reach the tasks. Frequent paths of a
+    level prune the next one through a bit table of ``TABLE_BITS`` bits, however many they are.
     """
     spark = df.sparkSession
     n = user_total(df, user).first()["n"] or 0
@@ -84,11 +132,14 @@ def frequent_paths(df: DataFrame, user: str, seq: str, min_share: float = 0.01,
         kind = dict(rows.dtypes)["u"]
         return rows.mapInArrow(reduce_, f"u {kind}, c array<int>").filter(F.size("c") >= 2)
 
-    weighted = cut(codes_of(single).groupBy("c").agg(F.count(F.lit(1)).alias("w")))
-    extra = cut(codes_of(several).distinct())
+    # few and small partitions are left by the grouping: the search is spread over all cores
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    weighted = cut(codes_of(single).groupBy("c").agg(F.count(F.lit(1)).alias("w")).repartition(tasks, "c"))
+    extra = cut(codes_of(several).distinct().repartition(tasks, "u", "c"))
+    any_extra = not extra.isEmpty()
 
-    def counted(length: int, grown: set | None) -> DataFrame:
-        g = spark.sparkContext.broadcast(grown)
+    def counted(length: int, known_: Levels) -> DataFrame:
+        g = spark.sparkContext.broadcast(known_)
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c: dict[tuple, int] = defaultdict(int)
@@ -97,9 +148,9 @@ def frequent_paths(df: DataFrame, user: str, seq: str, min_share: float = 0.01,
                     if len(s) >= length:
                         for p in extend(s, g.value, length):
                             c[p] += w
-                if len(c) > 200_000:
-                    yield out(c)
-                    c.clear()
+                        if len(c) > FLUSH:
+                            yield out(c)
+                            c.clear()
             yield out(c)
 
         def out(c: dict) -> pa.RecordBatch:
@@ -108,24 +159,35 @@ def frequent_paths(df: DataFrame, user: str, seq: str, min_share: float = 0.01,
         def by_user(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 us, ps = [], []
+
+                def rows() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([b.column("u").take(pa.array(us, pa.int64())), pa.array(ps, pa.list_(pa.int32()))], names=["u", "p"])
+
                 for k, s in enumerate(b.column("c").to_pylist()):
                     found = extend(s, g.value, length)
                     us += [k] * len(found)
                     ps += [list(p) for p in found]
-                yield pa.RecordBatch.from_arrays([b.column("u").take(pa.array(us, pa.int64())), pa.array(ps, pa.list_(pa.int32()))], names=["u", "p"])
-
-        one = weighted.mapInArrow(local, "p array<int>, w bigint")
-        more = extra.mapInArrow(by_user, f"u {dict(extra.dtypes)['u']}, p array<int>").distinct().select("p", F.lit(1).cast("bigint").alias("w"))
-        return one.unionByName(more).groupBy("p").agg(F.sum("w").alias("n_users")).filter(F.col("n_users") >= least)
-
-    found, grown = [], set()
+                    if len(ps) > FLUSH:
+                        yield rows()
+                        us, ps = [], []
+                yield rows()
+
+        all_ = weighted.mapInArrow(local, "p array<int>, w bigint")
+        if any_extra:
+            more = extra.mapInArrow(by_user, f"u {dict(extra.dtypes)['u']}, p array<int>").distinct().select("p", F.lit(1).cast("bigint").alias("w"))
+            all_ = all_.unionByName(more)
+        return all_.groupBy("p").agg(F.sum("w").alias("n_users")).filter(F.col("n_users") >= least)
+
+    found, levels = [], Levels()
     for length in range(2, lengths[1] + 1):
-        level = cut(counted(length, grown))
+        level = cut(counted(length, levels))
         if length >= lengths[0]:
             found.append(level)
         if length < lengths[1]:
-            size = level.count()
-            grown = None if size > max_known or grown is None else grown | {tuple(r["p"]) for r in level.select("p").toLocalIterator()}
+            at = level.select(_hash_column("p").cast("int").alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)  # TABLE_BITS rows at most
+            bits = np.zeros(TABLE_BITS, np.uint8)
+            bits[at] = 1
+            levels = Levels({**levels.tables, length: np.packbits(bits, bitorder="little").tobytes()})
     out = found[0]
     for level in found[1:]:
         out = out.unionByName(level)

@@ -1,7 +1,8 @@
 import itertools
 import random
 
-from seqloom.llm.paths import extend, frequent_paths
+from seqloom.llm import paths
+from seqloom.llm.paths import Levels, extend, frequent_paths
 
 
 def holds(seq, path):
@@ -27,7 +28,7 @@ def _run(spark, data, **kw):
     return {tuple(r["path"]): r["n_users"] for r in frequent_paths(df, "user_id", "seq", **kw).collect()}
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     data = [(u, [rng.choice([None, 1, 2, 3, 4, 5]) for _ in range(rng.randrange(14))]) for u in range(60)]
     data += data[:10]  # repeated rows
@@ -35,13 +36,21 @@ def test_against_brute_force(spark):
     data += [(None, [1, 2, 3, 4])] * 3 + [(70, None), (71, [])]
     want = brute(data, 0.1, 5, (3, 4))
     assert want and _run(spark, data, min_share=0.1, min_users=5) == want
-    assert _run(spark, data, min_share=0.1, min_users=5, max_known=0) == want  # without pruning by known paths
+    monkeypatch.setattr(paths, "FLUSH", 3)
+    monkeypatch.setattr(paths, "TABLE_BITS", 8)  # nearly all paths share a bit: nothing is pruned, nothing is lost
+    assert _run(spark, data, min_share=0.1, min_users=5) == want
 
 
 def test_extension_rule():
-    assert extend([1, 2, 1, 3], set(), 2) == {(1, 2), (1, 3), (2, 1), (2, 3)}
-    assert extend([1, 2, 3], {(1, 2), (2, 3)}, 3) == {(1, 2, 3)}
-    assert extend([1, 2, 3], {(1, 2)}, 3) == set()
+    assert extend([1, 2, 1, 3], Levels(), 2) == {(1, 2), (1, 3), (2, 1), (2, 3)}
+    assert extend([1, 2, 3], Levels.of([(1, 2), (2, 3)]), 3) == {(1, 2, 3)}
+    assert extend([1, 2, 3], Levels.of([(1, 2)]), 3) == set()
+
+
+def test_hash_of_columns_and_of_tuples(spark):
+    data = [[0, 1], [2, 1, 0], [99_999, 7], [2**31 - 1, 2**31 - 1, 5]]
+    got = [r["h"] for r in spark.createDataFrame([(i, p) for i, p in enumerate(data)], "i int, p array<int>").orderBy("i").select(paths._hash_column("p").alias("h")).collect()]
+    assert got == [paths.path_hash(tuple(p)) for p in data]
 
 
 def test_nothing_frequent_and_empty(spark):
