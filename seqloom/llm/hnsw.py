@@ -115,12 +115,11 @@ def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray,
         src = np.where(fresh, ids[live[:, None], pick], -1)
         near = np.where((src >= 0)[:, :, None], nbrs[src], -1).reshape(len(live), -1)
         near[near < 0] = n
+        near.sort(axis=1)  # the same node may be a neighbour of several expanded ones
         new = ~seen[live[:, None], near]
+        new[:, 1:] &= near[:, 1:] != near[:, :-1]
         r, c = np.nonzero(new)
         v = near[r, c]
-        key = r * (n + 1) + v  # the same node may be a neighbour of several expanded ones
-        _, first = np.unique(key, return_index=True)
-        r, v = r[first], v[first]
         seen[live[r], v] = True
         s = np.einsum("ij,ij->i", vecs[v], q[live[r]])
         ok = s > sims[live].min(1)[r]

@@ -19,12 +19,15 @@ from seqloom.llm.hnsw import Graph
 from seqloom.operators.ordering import top_per_key
 from seqloom.runtime import cut, spread_keys
 
-#: Vectors of a shard, rows of the sample that the tree is fitted on, queries of a task.
-SHARD_VECTORS, SAMPLE, BLOCK = 65_536, 32_768, 65_536
+#: Vectors of a shard and queries of a task.
+SHARD_VECTORS, BLOCK = 16_384, 65_536
+#: Rows of the sample that one tree of cells is fitted on, and rows of it that a cell needs. More cells than that allows are fitted in two
+#: levels: a tree over all vectors, and below each of its cells a tree fitted by a task of its own on a sample of that cell.
+SAMPLE, CELL_SAMPLE = 32_768, 64
 #: A query visits as many cells as hold this share of the true neighbours of a sample of so many queries.
-ROUTED, QUERIES = 0.97, 512
+ROUTED, QUERIES = 0.96, 512
 #: Neighbours per node (twice as many on level 0), and beam widths of build and search.
-DEGREE, EF_BUILD, EF_SEARCH = 16, 48, 128
+DEGREE, EF_BUILD, EF_SEARCH = 16, 48, 80
 _PART = 4 << 20  # bytes of a piece of a stored graph
 
 
@@ -69,6 +72,51 @@ def centroid_tree(x: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
     return np.stack([g.mean(0) for g in groups]).astype(np.float32)
 
 
+def closest_cells(x: np.ndarray, centroids: np.ndarray, visits: int) -> np.ndarray:
+    """Numbers of the ``visits`` closest centroids of each row, closest first; rows are taken in blocks, so that memory stays the same for any number of cells."""
+    out = np.empty((len(x), visits), np.int32)
+    half = 0.5 * (centroids**2).sum(1)
+    step = max(1, 4_194_304 // len(centroids))
+    for a in range(0, len(x), step):
+        s = half - x[a : a + step] @ centroids.T
+        near = np.argpartition(s, visits - 1, axis=1)[:, :visits] if visits < len(centroids) else np.broadcast_to(np.arange(len(centroids)), s.shape)
+        out[a : a + step] = np.take_along_axis(near, np.argsort(np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+    return out
+
+
+def fit_cells(index: DataFrame, n: int, dim: int, shard_vectors: int, sample: int = SAMPLE) -> np.ndarray:
+    """Centroids of about ``n`` / ``shard_vectors`` cells, as many as the vectors ask for: 4 * dim bytes a cell."""
+    spark = index.sparkSession
+    cells, most = -(-n // shard_vectors), max(2, sample // CELL_SAMPLE)
+    rows = index.orderBy(F.xxhash64("k")).limit(sample).select("v").collect()  # bounded
+    top = centroid_tree(np.frombuffer(b"".join(bytes(r["v"]) for r in rows), np.float32).reshape(-1, dim), min(cells, most))
+    if cells <= most:
+        return top
+    sent = spark.sparkContext.broadcast(top)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float32).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("v"), pa.array(closest_cells(x, sent.value, 1)[:, 0])], names=["k", "v", "c"])
+
+    homes = index.mapInArrow(home, "k bigint, v binary, c int")
+    sizes = {r["c"]: r["n"] for r in homes.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per cell of the upper tree
+    want = {c: -(-m // shard_vectors) for c, m in sizes.items()}
+    counts = F.broadcast(spark.createDataFrame([(c, m, want[c]) for c, m in sizes.items()], "c int, n bigint, parts int"))
+    # a hash keeps about as many rows of each cell as its tree needs
+    share = F.least(F.lit(1.0), F.lit(float(2 * CELL_SAMPLE)) * F.col("parts") / F.col("n"))
+    kept = homes.join(counts, "c").filter((F.pmod(F.xxhash64("k"), F.lit(1_000_003)) / 1_000_003 < share) | (F.col("parts") == 1))
+    kept = kept.filter("parts > 1").select("c", "parts", "v")
+
+    def below(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(-1, dim)
+        return pd.DataFrame({"v": [r.tobytes() for r in centroid_tree(x, int(pdf["parts"].iloc[0]))]})
+
+    fitted = kept.groupBy("c").applyInPandas(below, "v binary").collect()  # a row per cell
+    single = top[[c for c, m in want.items() if m == 1]]
+    return np.concatenate([single, np.frombuffer(b"".join(bytes(r["v"]) for r in fitted), np.float32).reshape(-1, dim)])
+
+
 def visits_needed(index: DataFrame, queries: list, centroids: np.ndarray, k: int, share: float = ROUTED) -> int:
     """The least number of closest cells that hold ``share`` of the exact k nearest of ``queries`` (rows of ``k, v``), which are compared with all of ``index``."""
     dim = centroids.shape[1]
@@ -85,7 +133,7 @@ def visits_needed(index: DataFrame, queries: list, centroids: np.ndarray, k: int
             if not len(x):
                 continue
             keys = b.column("k").to_numpy()
-            home = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1).astype(np.int32)
+            home = closest_cells(x, c, 1)[:, 0]
             s = q_ @ x.T
             at = np.minimum(np.searchsorted(own_, keys), len(own_) - 1)
             same = np.flatnonzero(own_[at] == keys)
@@ -145,23 +193,21 @@ def nearest_neighbours(
         rest = rest.join(lists, "v").select(F.col("k").alias("item_id"), F.posexplode("ids").alias("rank", "neighbour")).select("item_id", (F.col("rank") + 1).alias("rank"), "neighbour", F.lit(1.0).cast("float").alias("cosine"))
         index = cut(vecs.join(rest.select(F.col("item_id").alias("k")), "k", "left_anti"))
 
-    cells = min(-(-n // shard_vectors), SAMPLE // 64)
-    if cells > 1:
-        rows = index.orderBy(F.xxhash64("k")).limit(SAMPLE + QUERIES).select("k", "v").collect()  # bounded
-        centroids = centroid_tree(np.frombuffer(b"".join(bytes(r["v"]) for r in rows[:SAMPLE]), np.float32).reshape(-1, dim), cells)
-        cells = len(centroids)
+    if n > shard_vectors:
+        centroids = fit_cells(index, n, dim, shard_vectors)
         if probes is None:
-            probes = visits_needed(index, rows[-QUERIES:], centroids, k)
+            rows = index.orderBy(F.xxhash64("k", F.lit(1))).limit(QUERIES).select("k", "v").collect()  # bounded
+            probes = visits_needed(index, rows, centroids, k)
     else:
         centroids = np.zeros((1, dim), np.float32)
+    cells = len(centroids)
     c = spark.sparkContext.broadcast(centroids)
     visits = min(probes or 1, cells)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float32).reshape(-1, dim)
-            s = x @ c.value.T - 0.5 * (c.value**2).sum(1)
-            order = np.argsort(-s, axis=1, kind="stable")[:, :visits].astype(np.int32)
+            order = closest_cells(x, c.value, visits)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, visits), pa.int32()), pa.array(order.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("v"), lists], names=["k", "v", "cells"])
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from seqloom.llm.hnsw import Graph
-from seqloom.llm.neighbours import centroid_tree, nearest_neighbours
+from seqloom.llm.neighbours import centroid_tree, closest_cells, fit_cells, nearest_neighbours
 
 
 def _brute(v, k):
@@ -87,3 +87,18 @@ def test_empty(spark):
     assert nearest_neighbours(_frame(spark, []), "item_id", "embedding").collect() == []
     assert nearest_neighbours(_frame(spark, [(1, None, None, None)]), "item_id", "embedding").collect() == []
     assert nearest_neighbours(_frame(spark, [(1, [1.0], None, None)]), "item_id", "embedding").collect() == []
+
+
+def test_cells_of_two_levels(spark):
+    """More cells than one sample can feed: a tree below each cell of the first, and cells of like size."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(4000, 8)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "k long, v binary")
+    c = fit_cells(index, 4000, 8, 100, sample=256)
+    assert c.shape[1] == 8 and 36 <= len(c) <= 60
+    sizes = np.bincount(closest_cells(v, c, 1)[:, 0], minlength=len(c))
+    assert sizes.max() < 400
+    want = np.argsort(0.5 * (c**2).sum(1) - v @ c.T, axis=1, kind="stable")[:, :5]
+    assert (closest_cells(v, c, 5) == want).mean() > 0.999
+    assert len(fit_cells(index, 4000, 8, 1000, sample=256)) == 4
