@@ -33,18 +33,28 @@ def bipartite_kcore(pairs: DataFrame, user: str, item: str, min_users: int, min_
     """
     if min_users <= 1 and min_items <= 1:
         return pairs
-    now, n = pairs, None
-    while True:
-        now = now.join(_often(now, item, min_users, user), item, "left_semi")
-        now = now.join(_often(now, user, min_items, item), user, "left_semi")
-        if not iterative:
-            break
-        now = cut(now)
-        m = now.count()
+
+    def once(rows: DataFrame) -> DataFrame:
+        rows = rows.join(_often(rows, item, min_users, user), item, "left_semi")
+        return rows.join(_often(rows, user, min_items, item), user, "left_semi")
+
+    if not iterative:
+        return once(pairs).select(*pairs.columns)
+    # The core depends on the distinct pairs alone, which are narrow; the log itself is read at the end.
+    now = cut(pairs.filter(F.col(user).isNotNull() & F.col(item).isNotNull()).select(user, item).distinct())
+    n = now.count()
+    while n:
+        now = cut(_distinct_once(_distinct_once(now, user, item, min_users, min_items), user, item, min_users, min_items))
+        m, n = n, now.count()
         if m == n:
             break
-        n = m
-    return now.select(*pairs.columns)
+    return pairs.join(now, [user, item], "left_semi").select(*pairs.columns)
+
+
+def _distinct_once(pairs: DataFrame, user: str, item: str, min_users: int, min_items: int) -> DataFrame:
+    """One round on distinct pairs, whose rows can be counted as they are."""
+    pairs = pairs.join(_often(pairs, item, min_users), item, "left_semi")
+    return pairs.join(_often(pairs, user, min_items), user, "left_semi")
 
 
 def original_counts_kcore(log: DataFrame, user: str, item: str, min_user: int = 5, min_item: int = 5) -> DataFrame:

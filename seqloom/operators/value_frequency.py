@@ -80,5 +80,7 @@ def value_frequency(df: DataFrame, key: Column, value: Column, qs: Sequence[floa
     totals = key_totals(pairs)
     if not qs:
         return totals
+    pairs = cut(pairs)
+    totals = key_totals(pairs)
     pct = key_percentiles(pairs, qs).withColumnRenamed("k", "pk")
     return totals.join(pct, F.col("k").eqNullSafe(F.col("pk")), "left").drop("pk")

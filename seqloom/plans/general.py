@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.packed_fields import split_packed
 from seqloom.operators.value_frequency import compress, key_percentiles, key_totals
-from seqloom.runtime import table
+from seqloom.runtime import cut, table
 
 #: An item is a heavy one from this share on.
 HEAVY_SHARE = 0.01
@@ -26,8 +26,9 @@ def graph_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stats(pairs: DataFrame, names: dict[str, str]) -> DataFrame:
-    totals = key_totals(pairs.filter(F.col("k").isNotNull()))
-    pct = key_percentiles(pairs.filter(F.col("k").isNotNull()), QUANTILES)
+    pairs = cut(pairs.filter(F.col("k").isNotNull()))  # one row per key and value; read for the totals, the ranges and the percentiles
+    totals = key_totals(pairs)
+    pct = key_percentiles(pairs, QUANTILES)
     return totals.join(pct, "k", "left").select(*[F.col(a).alias(b) for a, b in names.items()])
 
 
@@ -47,7 +48,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Items on at least one percent of the non-null sequence elements, or ``src`` of one percent of the graph's rows."""
 
     def heavy(pairs: DataFrame, field: str, nulls_count: bool) -> DataFrame:
-        totals = key_totals(pairs)
+        totals = cut(key_totals(pairs))  # one row per key; summed up, then filtered
         whole = totals if nulls_count else totals.filter(F.col("k").isNotNull())
         least = F.lit(HEAVY_SHARE) * whole.agg(F.sum("n_rows")).scalar()
         return totals.filter(F.col("k").isNotNull() & (F.col("n_rows") >= least)).select(F.lit(field).alias("field_name"), F.col("k").alias("item_id"))

@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -35,13 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that setting is unset (tests,
-    the bench on one machine) a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``; only where that setting is unset and all runs in one process (tests,
+    the bench on one machine) a temporary folder of this machine is used; elsewhere ``RuntimeError`` is raised.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seqloom-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -56,26 +59,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and keeps it in the shared folder, so that lost executors cost no recomputation."""
+    """Computes ``df`` once and keeps it in the shared folder, so that lost executors cost no recomputation.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` its files go as soon as nothing refers to it any more.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def put_shared(spark: SparkSession, data: bytes, suffix: str) -> str:
-    """Writes bytes into the shared folder, and returns the URI."""
+    """Writes bytes into the shared folder, and returns the URI. The file goes with the session."""
     uri = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}{suffix}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
     try:
         step = 1 << 20
         for k in range(0, len(data), step):
             out.write(bytearray(data[k : k + step]))
     finally:
         out.close()
+    fs.deleteOnExit(path)
     return uri
 
 
+def exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
+    """Whether a file or folder exists on the storage that ``path`` names, whichever it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and (not folder or fs.getFileStatus(p).isDirectory())
+
+
 def distribute(spark: SparkSession, data: bytes, suffix: str) -> str:
     """Puts bytes into the shared folder and has Spark bring them to each executor; returns the name for ``local_copy``."""
     uri = put_shared(spark, data, suffix)
