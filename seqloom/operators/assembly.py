@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.ordering import numbered
+from seqloom.runtime import cut
+
 _EMPTY = "array<bigint>"
 
 
@@ -63,20 +66,34 @@ def top_up(items: Column, more: Column, total: int, already: Column | None = Non
     return F.concat(items, F.slice(fresh, F.lit(1), F.greatest(F.lit(total) - F.size(items), F.lit(0))))
 
 
-def random_pad(short: DataFrame, vertices: DataFrame, total: int, seed: int, items: str, key: str = "q", already: str | None = None) -> DataFrame:
-    """``q, pad``: the vertices that a query still needs, in the pseudo-random order of md5(seed:q:item), used ones excluded.
+def next_prime(n: int) -> int:
+    """The least prime from ``n`` on."""
+    p = max(n, 2)
+    while any(p % d == 0 for d in range(2, int(p**0.5) + 1)):
+        p += 1
+    return p
 
-    Only queries that fall short should be passed. As a query uses at most 2 * total items, the vertices are cut to that many by the order before
-    used ones are dropped; the draw is made per (query, block of vertices), and blocks pass on no more than that.
-    """
-    from seqloom.operators.ordering import top_per_key
 
+def pad_pool(vertices: DataFrame) -> tuple[DataFrame, int]:
+    """``item, pos``: vertices numbered from 0 in the order of their ids, and how many there are."""
+    pool = cut(numbered(vertices.filter(F.col("item").isNotNull()).distinct(), ["item"], "pos"))
+    return pool, pool.count()
+
+
+def random_pad(short: DataFrame, pool: DataFrame, n: int, total: int, seed: int, items: str, key: str = "q", already: str | None = None) -> DataFrame:
+    """``q, pad``: as many further vertices as a query's list falls short of ``total``, drawn pseudo-randomly, used ones passed over.
+
+    Every query walks through the ``n`` numbered vertices of ``pad_pool`` in strides of its own: from md5(seed:q) follow a start and a stride
+    below the next prime, so that no place comes twice and all come up in the end. A walk of as many steps as the list needs and has
+    used is always enough, so a query looks up a bounded number of places and is never paired with all vertices.
+    """
+    prime = next_prime(n)
     used = F.concat(items, already) if already else F.col(items)
-    blocks = vertices.withColumn("_b", F.floor(F.col("item") / 1024)).groupBy("_b").agg(F.collect_list("item").alias("_v")).groupBy().agg(F.collect_list("_b").alias("_bs"))
-    listed = vertices.withColumn("_b", F.floor(F.col("item") / 1024)).groupBy("_b").agg(F.collect_list("item").alias("_v"))
-    need = short.withColumn("_u", used).withColumn("_n", F.lit(total) - F.size(items)).filter("_n > 0")
-    spread = need.select(key, "_u", "_n", F.explode(blocks.scalar()).alias("_b")).join(listed, "_b")
-    draws = spread.select(key, "_n", F.explode(F.array_except("_v", "_u")).alias("item"))
-    draws = draws.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("item").cast("string"))))
-    top = top_per_key(draws, [key], ["_h", "item"], total, "_r").filter("_r <= _n")
-    return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", "item"))).alias("_a")).select(key, F.col("_a.item").alias("pad"))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    number = lambda at: F.conv(F.substring(h, at, 12), 16, 10).cast("bigint")
+    need = short.select(key, used.alias("_u"), (F.lit(total) - F.size(items)).alias("_n"), F.pmod(number(1), F.lit(prime)).alias("_a"), (F.pmod(number(13), F.lit(prime - 1)) + 1).alias("_b"))
+    need = need.filter("_n > 0")
+    steps = F.least(F.lit(prime).cast("bigint"), (F.col("_n") + F.size("_u") + F.lit(prime - n)).cast("bigint"))
+    walk = need.select(key, "_a", "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), steps - 1)).alias("_j")).select(key, "_j", F.pmod(F.col("_a") + F.col("_j") * F.col("_b"), F.lit(prime)).alias("pos"))
+    seen = walk.join(pool.select("pos", "item"), "pos").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_j", "item"))).alias("_w"))  # as many as steps
+    return need.join(seen, key).select(key, F.slice(F.array_except(F.col("_w.item"), F.col("_u")), F.lit(1), F.col("_n")).alias("pad"))

@@ -9,6 +9,10 @@ from seqloom.operators.sequences import all_but, bigrams
 from seqloom.runtime import cut
 
 
+#: Successors of a vertex that one part of a step holds.
+HUB = 4096
+
+
 def transitions(seqs: DataFrame, seq: str, held_out: int = 2) -> DataFrame:
     """``src, dst, cnt``: how often dst directly follows src in the training slices; self-loops are kept. Counts are combined map-side."""
     return bigrams(seqs.select(all_but(F.col(seq), held_out).alias("_t")), "_t").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
@@ -40,6 +44,9 @@ def edge_weights(edges: DataFrame) -> DataFrame:
 def rings(edges: DataFrame, sources: DataFrame | None = None, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(src, hop, item)`` of rings 1 to ``depth``, and ``(src, item)`` of everything visited, the source included.
 
+    A hub is hot on both sides of the step: its successors are cut into parts of ``HUB``, and its predecessors are sent to each of them, so no
+    task holds the whole product. The distinct pairs are combined within each task before they are shuffled.
+
     Ring 1 is the adjacency with self-loops; ring h holds what is reached from ring h-1 and was not visited before. Only ``sources``
     are expanded, always over the whole graph. Each ring is kept once, as the next one reads it twice.
     """
@@ -49,26 +56,29 @@ def rings(edges: DataFrame, sources: DataFrame | None = None, depth: int = 3) ->
     ring = cut(start.select("src", F.col("dst").alias("item")))
     out = ring.select("src", F.lit(1).alias("hop"), "item")
     visited = ring.unionByName(roots.select("src", F.col("src").alias("item"))).distinct()
-    step = adj.select(F.col("src").alias("item"), F.col("dst").alias("next"))
+    width = adj.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB)).cast("int").alias("parts"))
+    step = cut(adj.join(width, "src").select(F.col("src").alias("item"), F.col("dst").alias("next"), "parts", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")))
+    width = width.select(F.col("src").alias("item"), "parts")
     for h in range(2, depth + 1):
-        reached = ring.join(step, "item").select("src", F.col("next").alias("item")).distinct()
+        sent = ring.join(width, "item").select("src", "item", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        reached = sent.join(step, ["item", "part"]).select("src", F.col("next").alias("item")).distinct()
         ring = cut(reached.join(visited, ["src", "item"], "left_anti"))
         out = out.unionByName(ring.select("src", F.lit(h).alias("hop"), "item"))
-        visited = visited.unionByName(ring)
+        visited = visited.unionByName(ring) if h == depth else cut(visited.unionByName(ring))
     return out, visited
 
 
-def catch_all(users: DataFrame, visited: DataFrame, n_items: int) -> DataFrame:
-    """``user, item``: ids 0 .. n_items - 1 that are neither visited from the user's source nor in the user's history.
+def outside_sizes(users: DataFrame, visited: DataFrame, n_items: int) -> DataFrame:
+    """``user, n``: how many ids of 0 .. n_items - 1 are neither visited from the user's source nor in the user's history.
 
-    ``users``: ``user, src, history``. The excluded ids of a user are one array, and the rest is the difference to the
-    range, so no user is paired with all items before the exclusion.
+    ``users``: ``user, src, history``. The ids themselves are never listed; ``ranking.complement_top`` picks the best of them.
     """
-    seen = visited.groupBy("src").agg(F.collect_set("item").alias("_v"))
-    domain = F.sequence(F.lit(0).cast("bigint"), F.lit(n_items - 1).cast("bigint"))
-    both = users.join(seen, "src", "left")
-    out = F.array_except(F.array_except(domain, F.coalesce("_v", F.array().cast("array<bigint>"))), F.col("history").cast("array<bigint>"))
-    return both.select("user", F.explode(out).alias("item"))
+    inside = visited.filter(F.col("item").between(0, n_items - 1)).distinct()
+    seen = inside.groupBy("src").agg(F.count(F.lit(1)).alias("_s"))
+    own = users.select("user", "src", F.explode(F.array_distinct("history")).alias("item")).filter(F.col("item").between(0, n_items - 1))
+    own = own.join(inside, ["src", "item"], "left_anti").groupBy("user").agg(F.count(F.lit(1)).alias("_h"))
+    both = users.select("user", "src").join(seen, "src", "left").join(own, "user", "left")
+    return both.select("user", (F.lit(n_items) - F.coalesce("_s", F.lit(0)) - F.coalesce("_h", F.lit(0))).alias("n"))
 
 
 def hop_degrees(rings_: DataFrame) -> DataFrame:

@@ -54,10 +54,17 @@ def test_shards_add_up(spark, rows):
     assert rows(graph.from_shards(r, "src", "dst", "n")) == [(1, 2, 4)]
 
 
-def test_catch_all(spark, rows):
-    users = spark.createDataFrame([(1, 0, [2]), (2, 7, [])], "user long, src long, history array<long>")
-    visited = spark.createDataFrame([(0, 0), (0, 1)], "src long, item long")
-    assert rows(graph.catch_all(users, visited, 4)) == [(1, 3), (2, 0), (2, 1), (2, 2), (2, 3)]
+def test_sizes_outside_of_rings_and_history(spark, rows):
+    users = spark.createDataFrame([(1, 0, [2, 2, 1]), (2, 7, []), (3, 0, [9])], "user long, src long, history array<long>")
+    visited = spark.createDataFrame([(0, 0), (0, 1), (0, 1)], "src long, item long")
+    assert rows(graph.outside_sizes(users, visited, 4)) == [(1, 1), (2, 4), (3, 2)]
+
+
+def test_hubs_are_spread(spark, rows, monkeypatch):
+    edges = {(a, 0) for a in range(1, 30)} | {(0, b) for b in range(30, 60)} | {(5, 6)}
+    monkeypatch.setattr(graph, "HUB", 4)
+    ring, _ = graph.rings(spark.createDataFrame([(a, b, 1) for a, b in edges], "src long, dst long, cnt long"), depth=3)
+    assert {tuple(r) for r in ring.collect()} == brute_rings(edges, 3)
 
 
 def test_empty_graph(spark):

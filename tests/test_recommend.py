@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import assembly, graph, metrics
+from seqloom.operators import assembly, graph, metrics, ranking
 from seqloom.plans import recommend as rec
 from tests.test_graph import brute_rings
 
@@ -36,7 +36,7 @@ def test_fold_random(spark):
         assert r["items"] == want and len(set(want)) == len(want) <= 6
 
 
-def naive(seqs, vectors, cfg, method):
+def naive(seqs, vectors, cfg, method, n_items):
     """Plain Python from the definitions."""
     counts = {}
     for s in seqs.values():
@@ -48,47 +48,105 @@ def naive(seqs, vectors, cfg, method):
     vertices = sorted({x for e in counts for x in e})
     vec = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items()}
     zero = np.zeros(len(next(iter(vectors.values()))))
+    budgets = (cfg.budgets,) if method == "single" else (cfg.budgets2, cfg.budgets3)
+    depth = max(cfg.max_hops, *map(len, budgets))
+    depth = min(depth, cfg.explicit_depth or depth)
+    rings = brute_rings(counts, depth)
 
-    def ranked(src, depth, k, taken=()):
+    def cosine(anchor, i):
+        return float(anchor @ vec.get(i, zero))
+
+    def outside(src, anchor, history, k, taken=()):
+        gone = {src, *history, *taken} | {i for s, _, i in rings if s == src}
+        sc = sorted((-round(cosine(anchor, i), 9) + 0.0, i) for i in range(n_items) if i not in gone)
+        return [i for _, i in sc][:k]
+
+    def ranked(src, anchor, history, n, k, taken=()):
         out = []
-        all_ = [x for x in brute_rings(counts, depth) if x[0] == src]
-        for h in range(1, depth + 1):
+        for h in range(1, min(depth, n) + 1):
             sc = []
-            for _, hh, i in all_:
-                if hh == h and i not in taken:
-                    s = float(vec.get(src, zero) @ vec.get(i, zero)) + (cfg.alpha * np.log1p(counts[src, i]) / top[src] if h == 1 else 0)
-                    sc.append((-round(s, 9), i))
+            for s, hh, i in rings:
+                if s == src and hh == h and i not in taken:
+                    sc.append((-round(cosine(anchor, i) + (cfg.alpha * np.log1p(counts[src, i]) / top[src] if h == 1 else 0), 9), i))
             out.append([i for _, i in sorted(sc)][:k])
-        return out
+        return out + [outside(src, anchor, history, k, taken)] * (n > depth) + [[]] * (n - depth - 1)
 
     def pad(uid, items, total, taken=()):
-        free = [v for v in vertices if v not in items and v not in taken]
-        free.sort(key=lambda v: hashlib.md5(f"{cfg.seed}:{uid}:{v}".encode()).hexdigest())
-        return items + free[: max(0, total - len(items))]
+        n, out = len(vertices), list(items)
+        p = assembly.next_prime(n)
+        h = hashlib.md5(f"{cfg.seed}:{uid}".encode()).hexdigest()
+        a, b = int(h[:12], 16) % p, int(h[12:24], 16) % (p - 1) + 1
+        for j in range(p):
+            at = (a + j * b) % p
+            if len(out) < total and at < n and vertices[at] not in out and vertices[at] not in taken:
+                out.append(vertices[at])
+        return out
+
+    def topped(items, more, total, taken=()):
+        return items + [x for x in more if x not in items and x not in taken][: max(0, total - len(items))]
+
+    def mean(items):
+        m = sum((vec.get(i, zero) for i in items), zero) / len(items)
+        return m / max(np.linalg.norm(m), 1e-8)
 
     out = {}
     for u, s in seqs.items():
+        history = s[:-1]
         if method == "single":
-            k = sum(cfg.budgets)
-            out[u] = pad(u, fold(ranked(s[-2], cfg.depth(cfg.budgets), k)[: len(cfg.budgets)], cfg.budgets), k)
-        else:
-            k2, k3 = sum(cfg.budgets2), sum(cfg.budgets3)
-            a = pad(u, fold(ranked(s[-2], cfg.depth(cfg.budgets2), k2)[: len(cfg.budgets2)], cfg.budgets2), k2)
-            b = pad(u, fold(ranked(s[-3], cfg.depth(cfg.budgets3), k3, a)[: len(cfg.budgets3)], cfg.budgets3), k3, a)
-            out[u] = pad(u, a + b, k2 + k3)
+            k, anchor = sum(cfg.budgets), mean(history[-cfg.last_n :])
+            items = fold(ranked(s[-2], anchor, history, len(cfg.budgets), k), cfg.budgets)
+            if cfg.semantic_pad:
+                items = topped(items, outside(s[-2], anchor, history, k), k)
+            out[u] = pad(u, items, k)
+            continue
+        k2, k3 = sum(cfg.budgets2), sum(cfg.budgets3)
+        anchor2 = vec.get(s[-2], zero)
+        a = fold(ranked(s[-2], anchor2, history, len(cfg.budgets2), k2), cfg.budgets2)
+        more = outside(s[-2], anchor2, history, k2) if cfg.semantic_pad else []
+        a = pad(u, topped(a, more, k2), k2)
+        b = []
+        if len(history) > 1:
+            anchor3 = vec.get(s[-3], zero)
+            b = fold(ranked(s[-3], anchor3, history, len(cfg.budgets3), k3, a), cfg.budgets3, a)
+            if cfg.semantic_pad:
+                b = topped(b, outside(s[-3], anchor3, history, k3, a), k3, a)
+            b = pad(u, b, k3, a)
+        out[u] = pad(u, topped(a + b, more, k2 + k3), k2 + k3)
     return out
 
 
-@pytest.mark.parametrize("method,n_items", [("single", 14), ("two", 14), ("single", 40), ("two", 40)])
-def test_methods_against_plain_python(spark, method, n_items):
+@pytest.mark.parametrize(
+    "method,n_items,cfg",
+    [
+        ("single", 14, rec.Config()),
+        ("single", 40, rec.Config(last_n=3)),
+        ("single", 40, rec.Config(explicit_depth=1, seed=7)),
+        ("single", 40, rec.Config(explicit_depth=2, last_n=2)),
+        ("single", 30, rec.Config(max_hops=1, budgets=(9,), semantic_pad=True)),
+        ("two", 14, rec.Config()),
+        ("two", 40, rec.Config()),
+        ("two", 40, rec.Config(explicit_depth=1)),
+        ("two", 40, rec.Config(max_hops=1, budgets2=(6,), budgets3=(5,), semantic_pad=True)),
+    ],
+)
+def test_methods_against_plain_python(spark, method, n_items, cfg):
     rng = random.Random(n_items)
     seqs = {u: [rng.randrange(n_items) for _ in range(rng.randrange(3, 8))] for u in range(14)}
     vectors = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(n_items) if i % 5}
     df = spark.createDataFrame(list(seqs.items()), "user_id long, seq array<long>")
     v = rec.unit_vectors(spark.createDataFrame([(i, x) for i, x in vectors.items()], "i long, x array<double>"), "i", "x")
-    cfg = rec.Config()
-    got = (rec.single_source if method == "single" else rec.two_source)(df, graph.transitions(df, "seq"), v, cfg)
-    assert {r["user_id"]: r["items"] for r in got.collect()} == naive(seqs, vectors, cfg, method)
+    got = (rec.single_source if method == "single" else rec.two_source)(df, graph.transitions(df, "seq"), v, cfg, n_items)
+    assert {r["user_id"]: r["items"] for r in got.collect()} == naive(seqs, vectors, cfg, method, n_items)
+
+
+def test_short_histories_in_the_two_source_method(spark):
+    """Users with a single history item have no second source and are padded in its place."""
+    seqs = {1: [3, 4], 2: [3, 4, 5, 6, 7], 3: [9, 9]}
+    df = spark.createDataFrame(list(seqs.items()), "user_id long, seq array<long>")
+    v = rec.unit_vectors(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(10)], "i long, x array<double>"), "i", "x")
+    for cfg in (rec.Config(), rec.Config(max_hops=1, budgets2=(3,), budgets3=(2,), semantic_pad=True)):
+        got = rec.two_source(df, graph.transitions(df, "seq"), v, cfg, 10)
+        assert {r["user_id"]: r["items"] for r in got.collect()} == naive(seqs, {i: [1.0, float(i)] for i in range(10)}, cfg, "two", 10)
 
 
 def test_semantic_pad_avoids_history_and_visited(spark):
@@ -100,6 +158,34 @@ def test_semantic_pad_avoids_history_and_visited(spark):
     assert got[1:] == [3, 4, 5]
 
 
+@pytest.mark.parametrize("block,chunk", [(65_536, 4096), (7, 3)])
+def test_complement_against_brute_force(spark, block, chunk):
+    rng = np.random.default_rng(5)
+    v = {i: rng.integers(-2, 3, 3).astype(float) for i in range(40) if i % 4}  # many ties
+    queries = {q: None if q == 4 else rng.integers(-2, 3, 3).astype(float) for q in range(20)}
+    gone = {(int(q), int(i)) for q, i in zip(rng.integers(0, 20, 200), rng.integers(-3, 60, 200))} | {(9, i) for i in range(50)}
+    got = ranking.complement_top(
+        spark.createDataFrame([(q, None if a is None else a.tolist()) for q, a in queries.items()], "q long, anchor array<double>"),
+        spark.createDataFrame(list(gone), "q long, item long"),
+        spark.createDataFrame([(i, e.tolist()) for i, e in v.items()] + [(99, [1.0, 1.0, 1.0])], "item long, e array<double>"),
+        50, 6, block, chunk,
+    )
+    lists = {}
+    for r in got.orderBy("q", "rank").collect():
+        lists.setdefault(r["q"], []).append(r["item"])
+    for q, a in queries.items():
+        want = sorted((-(0.0 if a is None else float(a @ v.get(i, np.zeros(3)))) + 0.0, i) for i in range(50) if (q, i) not in gone)
+        assert lists.get(q, []) == [i for _, i in want][:6]
+
+
+def test_walks_come_past_every_vertex(spark):
+    pool, n = assembly.pad_pool(spark.createDataFrame([(i * 3,) for i in range(10)] + [(None,), (0,)], "item long"))
+    short = spark.createDataFrame([(q, [0, 3, 999]) for q in range(30)], "q long, items array<long>")
+    got = {r["q"]: r["pad"] for r in assembly.random_pad(short, pool, n, 20, 1, "items").collect()}
+    assert n == 10 and all(sorted(x) == list(range(6, 30, 3)) for x in got.values()) and len({tuple(x) for x in got.values()}) > 20
+    assert {len(r["pad"]) for r in assembly.random_pad(short, pool, n, 5, 1, "items").collect()} == {2}
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([([7, 9, 5], 9), ([1], 2)], "items array<long>, target long")
     m = {r["k"]: (r["recall"], round(r["ndcg"], 5)) for r in metrics.ranking_metrics(df, "items", "target", (1, 5)).collect()}
