@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from seqloom.runtime import exists
 
 # Folder names that a split may have, the canonical one first.
 SPLIT_NAMES = {"training": ("training", "train"), "evaluation": ("evaluation", "validation", "valid", "val"), "testing": ("testing", "test"), "items": ("items",)}
@@ -49,21 +52,21 @@ def resolve_datasets(names: list[str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def resolve_split(root: str, split: str, required: bool = True) -> str | None:
-    """The folder of a split below ``root`` under any of its names. Unknown splits raise ``ValueError``, missing ones ``FileNotFoundError`` if required."""
+def resolve_split(spark: SparkSession, root: str, split: str, required: bool = True) -> str | None:
+    """The folder of a split below ``root``, on whichever storage, under any of its names. Unknown splits raise ``ValueError``, missing ones ``FileNotFoundError`` if required."""
     canonical = next((k for k, v in SPLIT_NAMES.items() if split in v), None)
     if canonical is None:
         raise ValueError(f"unknown split {split!r}")
     for name in SPLIT_NAMES[canonical]:
-        if (p := Path(root) / name).is_dir():
-            return str(p)
+        if exists(spark, p := f"{root.rstrip('/')}/{name}", folder=True):
+            return p
     if required:
         raise FileNotFoundError(f"no {canonical} split below {root}: looked for {', '.join(SPLIT_NAMES[canonical])}")
     return None
 
 
-def require_files(root: str, files: list[str], what: str, how: str = "") -> None:
+def require_files(spark: SparkSession, root: str, files: list[str], what: str, how: str = "") -> None:
     """``FileNotFoundError`` that lists what is missing."""
-    lost = [f for f in files if not (Path(root) / f).exists()]
+    lost = [f for f in files if not exists(spark, f"{root.rstrip('/')}/{f}")]
     if lost:
         raise FileNotFoundError(f"{what}: put {', '.join(lost)} into {root}. {how}".strip())

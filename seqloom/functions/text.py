@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -46,6 +47,18 @@ def field_value(text: Column, label: str) -> Column:
     return F.when(got != "", got)
 
 
+def list_literal(values: Column) -> Column:
+    """An array of strings as a Python list literal: ``['A', "B's"]``."""
+
+    def one(x: Column) -> Column:
+        for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            x = F.replace(x, F.lit(raw), F.lit(shown))
+        double = x.contains("'") & ~x.contains('"')
+        return F.when(double, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(values, one), ", "), F.lit("]"))
+
+
 def list_in_order(values: Column, sep: str = ", ") -> Column:
     """Cleaned non-empty elements joined."""
     return F.array_join(F.filter(F.transform(values, clean_ws), lambda x: x != ""), sep)
@@ -75,9 +88,10 @@ def parse_long_date(c: Column) -> Column:
     return F.try_to_timestamp(F.substring(c, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy"))
 
 
-def parse_us_date(c: Column) -> Column:
-    """``11/15/2019 9:07:00 AM``; null if malformed."""
-    return F.try_to_timestamp(c, F.lit("M/d/yyyy h:mm:ss a"))
+def parse_us_date(c: Column, strict: bool = False) -> Column:
+    """``11/15/2019 9:07:00 AM``; null if malformed, or an error with ``strict``."""
+    ts = F.try_to_timestamp(c, F.lit("M/d/yyyy h:mm:ss a"))
+    return F.coalesce(ts, F.raise_error(F.concat(F.lit("malformed time: "), F.coalesce(c, F.lit("null")))).cast("timestamp")) if strict else ts
 
 
 def parse_iso_date(c: Column) -> Column:
@@ -85,9 +99,18 @@ def parse_iso_date(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit("y-M-d"))
 
 
+_WORDS = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|\b(true|false|null)\b""", re.S)
+_PYTHON = {"true": "True", "false": "False", "null": "None"}
+
+
+def _mixed_literal(line: str) -> object:
+    """A Python literal in which constants are written as in JSON; text in quotes is left alone."""
+    return ast.literal_eval(_WORDS.sub(lambda m: m.group(1) or _PYTHON[m.group(2)], line))
+
+
 def parse_object(line: str) -> dict | None:
-    """An object written as JSON or as a Python literal, None if it is neither."""
-    for read in (json.loads, ast.literal_eval):
+    """An object written as JSON or as a Python literal (also with true, false and null), None if it is neither."""
+    for read in (json.loads, ast.literal_eval, _mixed_literal):
         try:
             out = read(line)
             return out if isinstance(out, dict) else None

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import text as tx
 from seqloom.operators import filters, sequences as sq
+from seqloom.operators import ordering
 from seqloom.operators.ordering import first_per_key
 from seqloom.sources import readers as rd
 
@@ -38,8 +39,12 @@ def literal_reviews(spark: SparkSession, reviews: str, metadata: str) -> Prepare
     log = rd.object_lines(spark, reviews, "reviewerID string, asin string, unixReviewTime bigint").filter("reviewerID IS NOT NULL AND asin IS NOT NULL")
     seqs = sq.long_enough(_sequences(log, ["unixReviewTime", "ord"], "reviewerID", "asin"), "seq")
     meta = first_per_key(rd.object_lines(spark, metadata, "asin string, title string, brand string, categories array<array<string>>").filter("asin IS NOT NULL"), ["asin"], ["ord"])
-    cats = F.array_join(F.get("categories", 0), ", ")
-    known = meta.select(F.col("asin").alias("item_key"), tx.join_fields([("Title", F.col("title")), ("Brand", F.col("brand")), ("Categories", cats)]).alias("text"))
+    # Fixed form: the first category path as a list literal, and a closing semicolon, as in the texts that vectors were made of.
+    path = F.get("categories", 0)
+    fields = tx.join_fields([("Title", F.col("title")), ("Brand", F.col("brand"))])
+    cats = F.when(F.size(path) > 0, F.concat(F.lit("Categories: "), tx.list_literal(path)))
+    text = F.concat_ws("; ", F.when(fields != "", fields), cats)
+    known = meta.select(F.col("asin").alias("item_key"), F.when(text != "", F.concat(text, F.lit(";"))).alias("text"))
     return seqs, _texts(_used(seqs), known, "ASIN:")
 
 
@@ -83,15 +88,15 @@ def rated_movies(spark: SparkSession, ratings: str, movies: str) -> Prepared:
 
 
 def rated_books(spark: SparkSession, interactions: str, books: str, authors: str, least: int = 4) -> Prepared:
-    """Well rated books with a text and a readable date; repeats collapse; one k-core pass."""
-    a = rd.json_lines(spark, authors, "author_id string, name string").groupBy("author_id").agg(F.max_by("name", "ord").alias("name"))
-    a = a.select("author_id", tx.clean_ws(F.col("name")).alias("name")).filter("name <> ''")
+    """Well rated books with a text and a readable date; repeats collapse; one k-core pass. Of a book's usable rows and of an author's names the last wins."""
+    a = rd.json_lines(spark, authors, "author_id string, name string").select("author_id", tx.clean_ws(F.col("name")).alias("name"), "ord")
+    a = a.filter("author_id IS NOT NULL AND name <> ''").groupBy("author_id").agg(F.max_by("name", "ord").alias("name"))
     b = rd.json_lines(spark, books, "book_id string, title string, authors array<struct<author_id:string>>, publisher string, publication_year string, description string").filter("book_id IS NOT NULL")
-    by = b.select("book_id", F.posexplode("authors").alias("p", "a")).select("book_id", "p", "a.author_id").join(a, "author_id")
-    names = by.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "name"))), lambda x: x["name"]), ", ").alias("names"))
-    full = b.join(names, "book_id", "left")
+    by = b.select("ord", F.posexplode("authors").alias("p", "a")).select("ord", "p", "a.author_id").join(a, "author_id")
+    names = by.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    full = b.join(names, "ord", "left")
     text = tx.join_fields([("Title", F.col("title")), ("Authors", F.col("names")), ("Publisher", F.col("publisher")), ("Year", F.col("publication_year")), ("Description", F.col("description"))])
-    known = full.select(F.col("book_id").alias("item_key"), text.alias("text")).filter("text <> ''").dropDuplicates(["item_key"])
+    known = full.select(F.col("book_id").alias("item_key"), text.alias("text"), "ord").filter("text <> ''").groupBy("item_key").agg(F.max_by("text", "ord").alias("text"))
     log = rd.json_lines(spark, interactions, "user_id string, book_id string, rating int, date_added string")
     log = log.filter(F.coalesce("rating", F.lit(0)) >= least).withColumn("ts", tx.parse_long_date(F.col("date_added"))).filter("ts IS NOT NULL AND user_id IS NOT NULL")
     log = log.join(known.select(F.col("item_key").alias("book_id")), "book_id", "left_semi")
@@ -116,10 +121,11 @@ def game_reviews(spark: SparkSession, games: str, reviews: str) -> Prepared:
 
 def transactions(spark: SparkSession, articles: str, log_path: str) -> Prepared:
     """Transactions by day and file order: items with a text are kept first, repeats collapse after."""
-    cols = [("Name", "prod_name"), ("Type", "product_type_name"), ("Group", "product_group_name"), ("Colour", "colour_group_name"), ("Department", "department_name"), ("Description", "detail_desc")]
+    # Labels of the item text and the columns they come from.
+    cols = [("Title", "prod_name"), ("Type", "product_type_name"), ("Group", "product_group_name"), ("Color", "colour_group_name"), ("Department", "department_name"), ("Description", "detail_desc")]
     a = rd.csv_columns(spark, articles, ["article_id", *[c for _, c in cols]])
-    known = a.select(F.col("article_id").alias("item_key"), tx.join_fields([(n, F.col(c)) for n, c in cols]).alias("text")).filter("text <> ''")
-    log = rd.csv_columns(spark, log_path, ["t_dat", "customer_id", "article_id"]).withColumn("ord", F.monotonically_increasing_id())
+    known = a.select(F.col("article_id").alias("item_key"), tx.join_fields([(n, F.col(c)) for n, c in cols]).alias("text"), "ord").filter("text <> ''").groupBy("item_key").agg(F.max_by("text", "ord").alias("text"))
+    log = rd.csv_columns(spark, log_path, ["t_dat", "customer_id", "article_id"], line_breaks=False)
     log = log.join(known.select(F.col("item_key").alias("article_id")), "article_id", "left_semi")
     seqs = _sequences(log, ["t_dat", "ord"], "customer_id", "article_id")
     return sq.long_enough(seqs.withColumn("seq", sq.dedup_consecutive(F.col("seq"))), "seq"), known
@@ -127,11 +133,13 @@ def transactions(spark: SparkSession, articles: str, log_path: str) -> Prepared:
 
 def sessions(spark: SparkSession, products: str, log_path: str, locale: str = "UK") -> Prepared:
     """Sessions stand for users; of a product's titled rows the first wins; repeats stay."""
+    # Labels of the item text and the columns they come from.
     cols = [("Title", "title"), ("Brand", "brand"), ("Color", "color"), ("Material", "material"), ("Description", "desc")]
-    p = rd.csv_columns(spark, products, ["id", "locale", *[c for _, c in cols]]).withColumn("ord", F.monotonically_increasing_id())
+    p = rd.csv_columns(spark, products, ["id", "locale", *[c for _, c in cols]])
     p = first_per_key(p.filter((F.col("locale") == locale) & (F.col("title") != "")), ["id"], ["ord"])
     known = p.select(F.col("id").alias("item_key"), tx.join_fields([(n, F.col(c)) for n, c in cols]).alias("text"))
-    log = rd.csv_columns(spark, log_path, ["prev_items", "next_item", "locale"]).withColumn("user_key", F.monotonically_increasing_id()).filter(F.col("locale") == locale)
+    # sessions are numbered in the order of the file
+    log = ordering.numbered(rd.csv_columns(spark, log_path, ["prev_items", "next_item", "locale"]), ["ord"], "user_key").filter(F.col("locale") == locale)
     seq = sq.append_next(tx.bracket_list(F.col("prev_items")), F.col("next_item"))
     long = log.select("user_key", F.posexplode(seq).alias("pos", "item_key")).join(known.select("item_key"), "item_key", "left_semi")
     seqs = sq.build_sequences(long, "user_key", "item_key", ["pos"])
@@ -139,13 +147,13 @@ def sessions(spark: SparkSession, products: str, log_path: str, locale: str = "U
 
 
 def news(spark: SparkSession, headlines: list[str], behaviours: str) -> Prepared:
-    """Latest history and clicked impressions of each user, each item once; headlines of the first file win."""
+    """Latest history and clicked impressions of each user, each item once; headlines of the first file win. A malformed time is an error."""
     parts = [rd.quoted_tsv(spark, h, ["id", "c1", "c2", "title"]).select("id", "title", F.struct(F.lit(i).alias("f"), "ord").alias("o")) for i, h in enumerate(headlines)]
     titles = parts[0]
     for p in parts[1:]:
         titles = titles.unionByName(p)
     known = first_per_key(titles.filter("title IS NOT NULL AND title <> ''"), ["id"], ["o"]).select(F.col("id").alias("item_key"), F.col("title").alias("text"))
-    b = rd.quoted_tsv(spark, behaviours, ["n", "user", "time", "history", "impressions"]).withColumn("ts", tx.parse_us_date(F.col("time"))).filter("user IS NOT NULL")
+    b = rd.quoted_tsv(spark, behaviours, ["n", "user", "time", "history", "impressions"]).withColumn("ts", tx.parse_us_date(F.col("time"), strict=True)).filter("user IS NOT NULL")
     hist = b.select("user", "ts", "ord", F.filter(F.split(F.coalesce("history", F.lit("")), r"\s+"), lambda x: x != "").alias("items"))
     clicks = b.select("user", "ts", "ord", F.posexplode(tx.impressions(F.col("impressions"))).alias("p", "x")).filter("x.label = '1'")
     clicks = clicks.select("user", "ts", F.struct("ord", "p").alias("ord"), F.col("x.id").alias("item"))

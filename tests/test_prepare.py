@@ -70,7 +70,7 @@ def test_literal_reviews_and_given_sequences(spark, tmp_path):
     (tmp_path / "m.txt").write_text(repr({"asin": "a", "title": "First", "categories": [["Music", "Rock"]]}) + "\n" + repr({"asin": "a", "title": "Second"}) + "\n")
     seqs, text = prepare.literal_reviews(spark, str(tmp_path / "r.txt"), str(tmp_path / "m.txt"))
     assert [tuple(r) for r in seqs.collect()] == [("u", ["a", "b", "c"])]
-    assert dict(map(tuple, text.collect())) == {"a": "Title: First; Categories: Music, Rock", "b": "ASIN: b", "c": "ASIN: c"}
+    assert dict(map(tuple, text.collect())) == {"a": "Title: First; Categories: ['Music', 'Rock'];", "b": "ASIN: b", "c": "ASIN: c"}
     (tmp_path / "u.json").write_text(json.dumps({"2": [5, 6, 7], "1": [5]}))
     (tmp_path / "i.json").write_text(json.dumps({"5": {"title": "Café", "description": "Food"}}))
     seqs, text = prepare.given_sequences(spark, str(tmp_path / "u.json"), str(tmp_path / "i.json"))

@@ -78,25 +78,68 @@ def test_other_readers(spark, tmp_path, rows):
     assert rows(rd.object_map(spark, str(m), "array<bigint>")) == [("5", [1, 2])]
     c = tmp_path / "c.csv"
     c.write_text('id,t,z\n007,"a ""q"", b",1\n008,,2\n')
-    assert rows(rd.csv_columns(spark, str(c), ["id", "t"])) == [("007", 'a "q", b'), ("008", "")]
+    assert rows(rd.csv_columns(spark, str(c), ["id", "t"]).drop("ord")) == [("007", 'a "q", b'), ("008", "")]
     t = tmp_path / "n.tsv"
     t.write_text('N1\ta\tb\t"x ""y"""\n')
     assert rows(rd.quoted_tsv(spark, str(t), ["id", "b", "c", "title"]).drop("ord")) == [("N1", "a", "b", 'x "y"')]
 
 
-def test_names_and_folders(tmp_path):
+def test_names_and_folders(spark, tmp_path):
     assert config.resolve_datasets(["hm", "all", "hm"])[0] == "hm" and len(config.resolve_datasets(["all"])) == len(config.REGISTRY)
     with pytest.raises(ValueError):
         config.resolve_datasets(["nope"])
     (tmp_path / "val").mkdir()
-    assert config.resolve_split(str(tmp_path), "evaluation").endswith("val")
-    assert config.resolve_split(str(tmp_path), "items", required=False) is None
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert config.resolve_split(spark, root, "evaluation").endswith("val")
+        assert config.resolve_split(spark, root, "items", required=False) is None
     with pytest.raises(FileNotFoundError):
-        config.resolve_split(str(tmp_path), "testing")
+        config.resolve_split(spark, str(tmp_path), "testing")
     with pytest.raises(ValueError):
-        config.resolve_split(str(tmp_path), "other")
+        config.resolve_split(spark, str(tmp_path), "other")
     with pytest.raises(FileNotFoundError):
-        config.require_files(str(tmp_path), ["a.csv"], "x")
+        config.require_files(spark, str(tmp_path), ["a.csv"], "x")
+
+
+def test_tfrecord_round_trip(spark, tmp_path, rows):
+    tfrecord.register(spark)
+    data = [(7, [1, 300, -5], ["é", ""], 0.5), (-1, [], [], None), (9, [0], ["x" * 1000], -2.0)]
+    kind = "user_id bigint, sequence_data array<bigint>, text array<string>, w float"
+    df = spark.createDataFrame(data, kind).repartition(2)
+    df.write.format("tfrecord").mode("append").save(str(tmp_path / "o"))
+    assert all(p.name.endswith(".tfrecord.gz") for p in (tmp_path / "o").iterdir())
+    assert rows(spark.read.format("tfrecord").schema(kind).load(str(tmp_path / "o"))) == sorted(data, key=repr)
+    df.limit(1).write.format("tfrecord").mode("overwrite").save(f"file://{tmp_path}/o")
+    assert spark.read.format("tfrecord").schema(kind).load(f"file://{tmp_path}/o").count() == 1
+    assert tfrecord.masked_crc(b"") == 0xA282EAD8 and tfrecord.crc32c(b"123456789") == 0xE3069283
+    broken = bytearray(b"".join(tfrecord.framed(b"abc")))
+    broken[-5] ^= 1
+    (tmp_path / "b.tfrecord").write_bytes(bytes(broken))
+    with pytest.raises(Exception, match="checksum"):
+        spark.read.format("tfrecord").schema(kind).option("verify", "true").load(str(tmp_path / "b.tfrecord")).collect()
+
+
+def test_order_follows_the_files(spark, tmp_path):
+    """The larger file comes second by name, and is still read second."""
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.txt").write_text('{"id": "1"}\n{"id": "2"}\n')
+    (tmp_path / "d/b.txt").write_text("".join('{"id": "%d"}\n' % i for i in range(3, 400)))
+    for read in (rd.json_lines, rd.object_lines):
+        assert [int(r["id"]) for r in read(spark, str(tmp_path / "d"), "id string").orderBy("ord").collect()] == list(range(1, 400))
+
+
+def test_literals_with_json_constants():
+    from seqloom.functions.text import parse_object
+
+    assert parse_object("{'a': true, 'b': 'true', 'c': \"it's null\", 'd': null}") == {"a": True, "b": "true", "c": "it's null", "d": None}
+    assert parse_object("[1]") is None and parse_object("{'a': tru}") is None
+
+
+def test_list_literals(spark):
+    from seqloom.functions.text import list_literal
+
+    data = [["A", "B's"], ['say "x"'], ["both ' and \""], ["back\\slash", "new\nline"], [], ["é"]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(data)], "i int, x array<string>")
+    assert [r["l"] for r in df.orderBy("i").select(list_literal(df["x"]).alias("l")).collect()] == [repr(x) for x in data]
 
 
 def test_session_plan_and_dataset_writer(spark, tmp_path, rows):
