@@ -15,7 +15,7 @@ from seqloom.runtime import cut
 
 @dataclass(frozen=True)
 class Config:
-    """Defaults of both methods."""
+    """Both methods. The defaults."""
 
     budgets: tuple[int, ...] = (7, 2, 1)
     budgets2: tuple[int, ...] = (5, 1)
