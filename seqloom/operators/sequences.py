@@ -114,7 +114,7 @@ def history_plus_clicks(histories: DataFrame, clicks: DataFrame, user: str, seq:
     ``histories``: ``user, ts, ord, items`` (the first row wins a tie in ts); ``clicks``: ``user, ts, ord, item``. A user in only one
     of them is kept.
     """
-    late = F.coalesce(-F.unix_micros("ts"), F.lit(1 << 62))
+    late = F.coalesce(-F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1 << 62))
     h = histories.groupBy(user).agg(F.min_by("items", F.struct(late, "ord")).alias("_h"))
     c = build_sequences(clicks, user, "item", ["ts", "ord"], "_c")
     empty = F.array().cast(dict(h.dtypes)["_h"])

@@ -237,6 +237,13 @@ def text_clean_ascii(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.clean_ascii(F.col("text")).alias("text"))
 
 
+@query(f"""SELECT id, locale, regexp_replace(strip_accents({_sql_clean('brand')}), '[^\\x00-\\x7f]', '', 'g') AS brand FROM (SELECT DISTINCT id, locale, brand FROM products_train)""")
+def text_clean_ascii_brands(spark: SparkSession, d: str) -> DataFrame:
+    """Brands hold accents but no compatibility signs, for which SQL has no decomposition."""
+    p = table(spark, d, "products_train").select("id", "locale", "brand").distinct()
+    return p.select("id", "locale", tx.clean_ascii(F.col("brand")).alias("brand"))
+
+
 @query(f"""WITH c AS (SELECT id, {', '.join(f'{_sql_clean(x)} AS {x}' for x in ('title', 'brand', 'color', 'material', 'descr'))} FROM (SELECT DISTINCT * FROM products_train))
 SELECT id, concat_ws('; ', {', '.join(f"CASE WHEN {c} <> '' THEN '{n}: ' || {c} END" for n, c in (('Title', 'title'), ('Brand', 'brand'), ('Color', 'color'), ('Material', 'material'), ('Description', 'descr')))}) AS text FROM c""")
 def text_item_fields(spark: SparkSession, d: str) -> DataFrame:
