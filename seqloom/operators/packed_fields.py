@@ -281,7 +281,8 @@ def split_packed(df: DataFrame, ids: list[str], field: str, em_rounds: int = 3)
 
     rows = df.select(*ids, field).filter(F.col(field).isNotNull()).distinct()
     # rows that share their ids stay apart by a hash of the field
-    parsed = cut(rows.select(*ids, F.sha2(F.col(field).cast("string"), 256).alias("_row"), parse(field).alias("_atoms")).filter(F.size("_atoms") > 0))
+    parsed = cut(rows.select(*ids, F.sha2(F.col(field).cast("string"), 256).alias("_row"), parse(field).alias("_atoms")))
+    parsed = parsed.filter(F.size("_atoms") > 0)  # only now: the filter would be pushed below the distinct, and the fields be parsed twice
     counts = cut(parsed.select(F.explode("_atoms").alias("a")).groupBy("a.quoted", "a.value").agg(F.count(F.lit(1)).alias("w")))
     marks = separators(counts.filter("NOT quoted").select("value", "w"), counts.filter("quoted").select("value", "w"))
 
