@@ -46,14 +46,17 @@ class Graph:
             at = nodes[at].astype(np.int64)
         return at
 
-    def search(self, queries: np.ndarray, k: int, ef: int, entry: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """Node numbers and cosines of the k closest nodes of each query, best first; -1 where there are fewer."""
+    def search(self, queries: np.ndarray, k: int, ef: int, entry: np.ndarray | None = None, block: int = 128, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Node numbers and cosines of the k closest nodes of each query, best first; -1 where there are fewer.
+
+        ``entry``: node to start from. ``floor``: a cosine per query that so many as a beam holds reach elsewhere already; nodes below it are of no use.
+        """
         ids, sims = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
         nbrs = self.layers[-1][1]
         for a in range(0, len(queries), block):
             q = queries[a : a + block]
             start = self.entries(q) if entry is None else entry[a : a + block]
-            i, _ = _beam(self.vecs, nbrs, q, start[:, None], max(ef, k))
+            i, _ = _beam(self.vecs, nbrs, q, start[:, None], max(ef, k), floor=None if floor is None else floor[a : a + block])
             i = i[:, :k]
             s = np.einsum("ikj,ij->ik", self.vecs[i], q)  # all in one way, so that copies of a vector tie exactly
             s[i < 0] = -np.inf
@@ -92,14 +95,19 @@ def _greedy(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, at: np.ndarray) -
     return at
 
 
-def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int, spread: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first search of all queries in step: ``spread`` nodes of each beam are expanded at a time, until a beam holds no unexpanded node."""
+def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int, spread: int = 8, floor: np.ndarray | None = None, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search of all queries in step: ``spread`` nodes of each beam are expanded at a time, until a beam holds no unexpanded node.
+
+    With ``floor``, a beam holds the ``least`` best nodes and, beyond these, only such as are above the query's floor.
+    """
     b, n = len(q), len(vecs)
     rows = np.arange(b)
     seen = np.zeros((b, n + 1), bool)
     seen[:, n] = True  # stands for "no neighbour"
     ids = np.full((b, ef), n, np.int64)
     sims = np.full((b, ef), -np.inf, np.float32)
+    if floor is not None:
+        sims[:, least:] = floor[:, None]
     done = np.ones((b, ef), bool)
     m = start.shape[1]
     ids[:, :m] = start

@@ -27,7 +27,7 @@ SAMPLE, CELL_SAMPLE = 32_768, 64
 #: A query visits as many cells as hold this share of the true neighbours of a sample of so many queries.
 ROUTED, QUERIES = 0.96, 512
 #: Neighbours per node (twice as many on level 0), and beam widths of build and search.
-DEGREE, EF_BUILD, EF_SEARCH = 16, 48, 80
+DEGREE, EF_BUILD, EF_SEARCH = 16, 48, 96
 _PART = 4 << 20  # bytes of a piece of a stored graph
 
 
@@ -241,12 +241,12 @@ def nearest_neighbours(
     graphs = base.groupBy("g").applyInPandas(build, "c int, salt int, part int, data binary")
     graphs = cut(graphs)  # the expensive step: lost executors must not cause it to be done again
     spread = graphs.join(group_keys, ["c", "salt"]).select("g", "part", "data").repartition(len(groups), "g")
-    asked = routed.select("k", "v", F.explode("cells").alias("c")).join(plan, "c")
-    asked = asked.select("c", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block"), "k", "v")
-    asked = asked.join(group_keys, ["c", "salt", "block"]).select(F.col("g").alias("h"), "k", "v").repartition(len(groups), "h")
+    wide = 2 * k + 2  # holds the query itself and, at the k-th place, all copies of one vector
+    beam = max(ef, wide)
 
     def search(parts: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        cols = ["k", "ids", "sims"]
+        own = "floor" not in queries
+        cols = ["k", "ids", "sims"] + ["v", "cells", "salt", "floor"] * own
         if not len(parts) or not len(queries):
             return pd.DataFrame({x: [] for x in cols})
         data = b"".join(parts.sort_values("part")["data"])
@@ -255,15 +255,33 @@ def nearest_neighbours(
         g = Graph.load(data[8 + 8 * m :])
         q = np.frombuffer(b"".join(queries["v"]), np.float32).reshape(-1, dim)
         keys = queries["k"].to_numpy(np.int64)
-        wide = 2 * k + 2  # holds the query itself and, at the k-th place, all copies of one vector
-        i, s = g.search(q, wide, max(ef, wide))
+        if own:  # the query is a node itself, where its search starts
+            i, s = g.search(q, beam, beam, entry=np.searchsorted(ids, keys))
+            floor = np.where(np.isfinite(s[:, -1]), s[:, -1], -2.0).astype(np.float32)
+        else:
+            i, s = g.search(q, wide, beam, floor=queries["floor"].to_numpy(np.float32))
+        i, s = i[:, :wide], s[:, :wide]
         got = np.where(i >= 0, ids[i], -1)
         order = np.lexsort((got, -s), axis=1)
         i, s, got = (np.take_along_axis(x, order, 1) for x in (i, s, got))
         ok = (i >= 0) & (got != keys[:, None])
-        return pd.DataFrame({"k": keys, "ids": [a[o][:k] for a, o in zip(got, ok)], "sims": [a[o][:k] for a, o in zip(s, ok)]})
+        out = pd.DataFrame({"k": keys, "ids": [a[o][:k] for a, o in zip(got, ok)], "sims": [a[o][:k] for a, o in zip(s, ok)]})
+        return out.assign(v=queries["v"].to_numpy(), cells=queries["cells"].to_numpy(), salt=queries["salt"].to_numpy(), floor=floor) if own else out
+
+    def asked(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).join(group_keys, ["c", "salt", "block"])
+        return rows.select(F.col("g").alias("h"), "k", "v", *more).repartition(len(groups), "h").groupBy("h")
+
+    # A query searches the shard that it is in. What its beam holds at the end is the floor for all other shards: below it nothing can be of use.
+    home = routed.withColumn("c", F.col("cells")[0]).join(plan, "c").withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
+    kept = "k bigint, ids array<bigint>, sims array<float>"
+    first = cut(spread.groupBy("g").cogroup(asked(home, "cells", "salt")).applyInPandas(search, f"{kept}, v binary, cells array<int>, salt int, floor float"))
+    found = first.select("k", "ids", "sims")
+    if visits > 1 or max(salts.values()) > 1:
+        away = first.select("k", "v", "floor", F.col("cells")[0].alias("own"), F.col("salt").alias("own_salt"), F.explode("cells").alias("c")).join(plan, "c")
+        away = away.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).filter("c <> own OR salt <> own_salt")
+        found = found.unionByName(spread.groupBy("g").cogroup(asked(away, "floor")).applyInPandas(search, kept))
 
-    found = spread.groupBy("g").cogroup(asked.groupBy("h")).applyInPandas(search, "k bigint, ids array<bigint>, sims array<float>")
     def best(rows: DataFrame) -> DataFrame:
         """The k best distinct neighbours of each item; ``rows`` holds a bounded number of short lists an item."""
         return rows.groupBy("k").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("b")))), 1, k).alias("b"))
