@@ -52,11 +52,13 @@ class Graph:
         ``entry``: node to start from. ``floor``: a cosine per query that so many as a beam holds reach elsewhere already; nodes below it are of no use.
         """
         ids, sims = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
-        nbrs = self.layers[-1][1]
+        nbrs = padded(self.layers[-1][1])
+        self.last = np.full(len(queries), -np.inf, np.float32)  # cosine at the end of each query's beam
         for a in range(0, len(queries), block):
             q = queries[a : a + block]
             start = self.entries(q) if entry is None else entry[a : a + block]
-            i, _ = _beam(self.vecs, nbrs, q, start[:, None], max(ef, k), floor=None if floor is None else floor[a : a + block])
+            i, s = _beam(self.vecs, nbrs, q, start[:, None], max(ef, k), floor=None if floor is None else floor[a : a + block])
+            self.last[a : a + block] = s[:, -1]
             i = i[:, :k]
             s = np.einsum("ikj,ij->ik", self.vecs[i], q)  # all in one way, so that copies of a vector tie exactly
             s[i < 0] = -np.inf
@@ -78,6 +80,12 @@ class Graph:
         return cls(z["vecs"], [(z[f"n{k}"], z[f"e{k}"]) for k in range(m)])
 
 
+def padded(nbrs: np.ndarray) -> np.ndarray:
+    """The neighbour array with n in place of -1, and a row for node n, which has no neighbours."""
+    n = len(nbrs)
+    return np.concatenate([np.where(nbrs < 0, n, nbrs), np.full((1, nbrs.shape[1]), n)]).astype(np.int32)
+
+
 def _greedy(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Each query moves to its closest neighbour until none is closer."""
     at = at.copy()
@@ -102,6 +110,8 @@ def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray,
     """
     b, n = len(q), len(vecs)
     rows = np.arange(b)
+    if len(nbrs) == n:
+        nbrs = padded(nbrs)
     seen = np.zeros((b, n + 1), bool)
     seen[:, n] = True  # stands for "no neighbour"
     ids = np.full((b, ef), n, np.int64)
@@ -120,9 +130,8 @@ def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray,
         pick = np.argpartition(open_, spread, axis=1)[:, :spread] if ef > spread else np.tile(np.arange(ef), (len(live), 1))
         fresh = np.isfinite(np.take_along_axis(open_, pick, 1))
         done[live[:, None], pick] = True
-        src = np.where(fresh, ids[live[:, None], pick], -1)
-        near = np.where((src >= 0)[:, :, None], nbrs[src], -1).reshape(len(live), -1)
-        near[near < 0] = n
+        src = np.where(fresh, ids[live[:, None], pick], n)
+        near = nbrs[src].reshape(len(live), -1)
         near.sort(axis=1)  # the same node may be a neighbour of several expanded ones
         new = ~seen[live[:, None], near]
         new[:, 1:] &= near[:, 1:] != near[:, :-1]

@@ -256,11 +256,10 @@ def nearest_neighbours(
         q = np.frombuffer(b"".join(queries["v"]), np.float32).reshape(-1, dim)
         keys = queries["k"].to_numpy(np.int64)
         if own:  # the query is a node itself, where its search starts
-            i, s = g.search(q, beam, beam, entry=np.searchsorted(ids, keys))
-            floor = np.where(np.isfinite(s[:, -1]), s[:, -1], -2.0).astype(np.float32)
+            i, s = g.search(q, wide, beam, entry=np.searchsorted(ids, keys))
+            floor = np.where(np.isfinite(g.last), g.last, -2.0)
         else:
             i, s = g.search(q, wide, beam, floor=queries["floor"].to_numpy(np.float32))
-        i, s = i[:, :wide], s[:, :wide]
         got = np.where(i >= 0, ids[i], -1)
         order = np.lexsort((got, -s), axis=1)
         i, s, got = (np.take_along_axis(x, order, 1) for x in (i, s, got))
