@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +11,12 @@ from seqloom.operators import embed, graph, sinks
 from seqloom.operators.sequences import positions
 from seqloom.plans import prepare
 from seqloom.plans import recommend as rec
-from seqloom.plans.frames import E, L, event_sequences, events_log, exploded, line_sequences, lines_log
+from seqloom.plans.frames import E, L, catalogue, event_sequences, events_log, exploded, line_sequences, lines_log
 from seqloom.runtime import shared_dir, table
 from seqloom.sources import readers as rd
 from seqloom.sources import tfrecord
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalogue()
 
 
 # -- writing raw files -----------------------------------------------------------------------------------

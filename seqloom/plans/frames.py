@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators.sequences import build_sequences, long_enough
 from seqloom.runtime import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def catalogue() -> tuple[dict[str, Query], dict[str, str], Callable]:
+    """Queries and their SQL by name, and the decorator that enters a query with its SQL (None if SQL can't say it)."""
+    queries: dict[str, Query] = {}
+    sql: dict[str, str] = {}
+
+    def query(text: str | None) -> Callable:
+        def add(f: Query) -> Query:
+            queries[f.__name__] = f
+            if text:
+                sql[f.__name__] = text
+            return f
+
+        return add
+
+    return queries, sql, query
+
+
 L_ORDER = ["o_orderdate", "o_orderkey", "l_linenumber"]
 
 

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import assembly, graph, metrics, ranking, vectors as vec
 from seqloom.operators.sequences import targets
 from seqloom.plans import recommend as rec
-from seqloom.plans.frames import E, L, event_sequences, line_sequences
+from seqloom.plans.frames import E, L, catalogue, event_sequences, line_sequences
 from seqloom.runtime import cut, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalogue()
 
 
 # -- SQL building blocks, written from the definitions ---------------------------------------------------

@@ -10,21 +10,10 @@ from pyspark.sql import functions as F
 from seqloom.functions import text as tx
 from seqloom.operators import filters, metrics, sequences as sq
 from seqloom.operators.sinks import shard_numbers
-from seqloom.plans.frames import L_ORDER, E, L, event_sequences, events_log, exploded, line_sequences, lines_log
+from seqloom.plans.frames import E, L, L_ORDER, catalogue, event_sequences, events_log, exploded, line_sequences, lines_log
 from seqloom.runtime import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalogue()
 
 
 def _long(df: DataFrame, seq: str = "seq") -> DataFrame:
