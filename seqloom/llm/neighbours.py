@@ -225,61 +225,57 @@ def nearest_neighbours(
     shard_keys = F.broadcast(spark.createDataFrame([(*x, g) for x, g in zip(shard_list, spread_keys(spark, len(shard_list)))], "c int, salt int, g bigint"))
     group_keys = F.broadcast(spark.createDataFrame([(*x, g) for x, g in zip(groups, spread_keys(spark, len(groups)))], "c int, salt int, block int, g bigint"))
 
-    base = routed.select("k", "v", F.col("cells")[0].alias("c")).join(plan, "c")
-    base = base.select("k", "v", "c", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("salt")).join(shard_keys, ["c", "salt"]).repartition(len(shard_list), "g")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        vecs_ = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(-1, dim)
-        ids = pdf["k"].to_numpy(np.int64)
-        at = int(pdf["c"].iloc[0]), int(pdf["salt"].iloc[0])
-        del pdf
-        data = len(ids).to_bytes(8, "little") + ids.tobytes() + Graph.build(vecs_, DEGREE, EF_BUILD).dump()
-        parts = [data[i : i + _PART] for i in range(0, len(data), _PART)]
-        return pd.DataFrame({"c": at[0], "salt": at[1], "part": range(len(parts)), "data": parts})
-
-    graphs = base.groupBy("g").applyInPandas(build, "c int, salt int, part int, data binary")
-    graphs = cut(graphs)  # the expensive step: lost executors must not cause it to be done again
-    spread = graphs.join(group_keys, ["c", "salt"]).select("g", "part", "data").repartition(len(groups), "g")
+    base = routed.withColumn("c", F.col("cells")[0]).join(plan, "c").withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
+    base = base.join(shard_keys, ["c", "salt"]).select("k", "v", "cells", "c", "salt", "g").repartition(len(shard_list), "g")
     wide = 2 * k + 2  # holds the query itself and, at the k-th place, all copies of one vector
     beam = max(ef, wide)
+    further = visits > 1 or max(salts.values()) > 1
 
-    def search(parts: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        own = "floor" not in queries
-        cols = ["k", "ids", "sims"] + ["v", "cells", "salt", "floor"] * own
-        if not len(parts) or not len(queries):
-            return pd.DataFrame({x: [] for x in cols})
-        data = b"".join(parts.sort_values("part")["data"])
-        m = int.from_bytes(data[:8], "little")
-        ids = np.frombuffer(data[8 : 8 + 8 * m], np.int64)
-        g = Graph.load(data[8 + 8 * m :])
-        q = np.frombuffer(b"".join(queries["v"]), np.float32).reshape(-1, dim)
-        keys = queries["k"].to_numpy(np.int64)
-        if own:  # the query is a node itself, where its search starts
-            i, s = g.search(q, wide, beam, entry=np.searchsorted(ids, keys))
-            floor = np.where(np.isfinite(g.last), g.last, -2.0)
-        else:
-            i, s = g.search(q, wide, beam, floor=queries["floor"].to_numpy(np.float32))
+    def lists(g: Graph, ids: np.ndarray, keys: np.ndarray, q: np.ndarray, **how: np.ndarray) -> dict[str, list]:
+        i, s = g.search(q, wide, beam, **how)
         got = np.where(i >= 0, ids[i], -1)
         order = np.lexsort((got, -s), axis=1)
         i, s, got = (np.take_along_axis(x, order, 1) for x in (i, s, got))
         ok = (i >= 0) & (got != keys[:, None])
-        out = pd.DataFrame({"k": keys, "ids": [a[o][:k] for a, o in zip(got, ok)], "sims": [a[o][:k] for a, o in zip(s, ok)]})
-        return out.assign(v=queries["v"].to_numpy(), cells=queries["cells"].to_numpy(), salt=queries["salt"].to_numpy(), floor=floor) if own else out
+        return {"ids": [a[o][:k] for a, o in zip(got, ok)], "sims": [a[o][:k] for a, o in zip(s, ok)]}
 
-    def asked(rows: DataFrame, *more: str) -> DataFrame:
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).join(group_keys, ["c", "salt", "block"])
-        return rows.select(F.col("g").alias("h"), "k", "v", *more).repartition(len(groups), "h").groupBy("h")
+    # A vector searches the shard that it is in, starting from itself, as soon as the graph is there. What its beam holds at the end is the
+    # floor for all other shards: below it nothing can be of use.
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        q = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(-1, dim)
+        ids = pdf["k"].to_numpy(np.int64)
+        g = Graph.build(q, DEGREE, EF_BUILD)
+        found = lists(g, ids, ids, q, entry=np.arange(len(ids)))
+        out = pdf[["c", "salt", "k", "v", "cells"]].assign(**found, floor=np.where(np.isfinite(g.last), g.last, -2.0)).astype({"k": object})
+        if not further:
+            return out.assign(part=None, data=None)
+        data = len(ids).to_bytes(8, "little") + ids.tobytes() + g.dump()
+        parts = [data[i : i + _PART] for i in range(0, len(data), _PART)]
+        flat = pd.DataFrame({"c": pdf["c"].iloc[0], "salt": pdf["salt"].iloc[0], "part": range(len(parts)), "data": parts})
+        return pd.DataFrame({x: [*(out[x] if x in out else [None] * len(out)), *(flat[x] if x in flat else [None] * len(flat))] for x in ("c", "salt", "part", "data", "k", "ids", "sims", "v", "cells", "floor")}, dtype=object)
 
-    # A query searches the shard that it is in. What its beam holds at the end is the floor for all other shards: below it nothing can be of use.
-    home = routed.withColumn("c", F.col("cells")[0]).join(plan, "c").withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
     kept = "k bigint, ids array<bigint>, sims array<float>"
-    first = cut(spread.groupBy("g").cogroup(asked(home, "cells", "salt")).applyInPandas(search, f"{kept}, v binary, cells array<int>, salt int, floor float"))
+    # the expensive step: lost executors must not cause it to be done again
+    built = cut(base.groupBy("g").applyInPandas(build, f"c int, salt int, part int, data binary, {kept}, v binary, cells array<int>, floor float"))
+    first = built.filter("k IS NOT NULL")
     found = first.select("k", "ids", "sims")
-    if visits > 1 or max(salts.values()) > 1:
-        away = first.select("k", "v", "floor", F.col("cells")[0].alias("own"), F.col("salt").alias("own_salt"), F.explode("cells").alias("c")).join(plan, "c")
+    if further:
+        spread = built.filter("part IS NOT NULL").select("c", "salt", "part", "data").join(group_keys, ["c", "salt"]).select("g", "part", "data").repartition(len(groups), "g")
+        away = first.select("k", "v", "floor", F.col("c").alias("own"), F.col("salt").alias("own_salt"), F.explode("cells").alias("c")).join(plan, "c")
         away = away.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).filter("c <> own OR salt <> own_salt")
-        found = found.unionByName(spread.groupBy("g").cogroup(asked(away, "floor")).applyInPandas(search, kept))
+        away = away.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).join(group_keys, ["c", "salt", "block"]).select(F.col("g").alias("h"), "k", "v", "floor").repartition(len(groups), "h")
+
+        def search(parts: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+            if not len(parts) or not len(queries):
+                return pd.DataFrame({x: [] for x in ("k", "ids", "sims")})
+            data = b"".join(parts.sort_values("part")["data"])
+            m = int.from_bytes(data[:8], "little")
+            q, keys = np.frombuffer(b"".join(queries["v"]), np.float32).reshape(-1, dim), queries["k"].to_numpy(np.int64)
+            got = lists(Graph.load(data[8 + 8 * m :]), np.frombuffer(data[8 : 8 + 8 * m], np.int64), keys, q, floor=queries["floor"].to_numpy(np.float32))
+            return pd.DataFrame({"k": keys, **got})
+
+        found = found.unionByName(spread.groupBy("g").cogroup(away.groupBy("h")).applyInPandas(search, kept))
 
     def best(rows: DataFrame) -> DataFrame:
         """The k best distinct neighbours of each item; ``rows`` holds a bounded number of short lists an item."""
