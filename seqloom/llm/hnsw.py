@@ -7,6 +7,10 @@ import io
 import numpy as np
 
 
+#: Nodes of a level that are compared with a query all at once, and places where a search starts.
+WHOLE_LEVEL, ENTRIES = 2048, 4
+
+
 class Graph:
     """``vecs`` (n x d, unit length), ``levels`` (largest first): per level the sorted node numbers and a flat neighbour array (nodes x degree, -1 = none)."""
 
@@ -37,13 +41,19 @@ class Graph:
     # -- search ------------------------------------------------------------------------------------------
 
     def entries(self, queries: np.ndarray) -> np.ndarray:
-        """A close node of level 0 for each query: greedy descent through the levels above."""
-        at = np.zeros(len(queries), np.int64)
-        for k, (nodes, nbrs) in enumerate(self.layers[:-1]):
-            if k:  # the level above ends at a node that this one holds as well
-                at = np.searchsorted(nodes, at)
-            at = _greedy(self.vecs[nodes], nbrs, queries, at)
-            at = nodes[at].astype(np.int64)
+        """Close nodes of level 0 for each query: the ``ENTRIES`` best of the lowest level above that is small enough to be compared as a whole, then greedy descent."""
+        upper = self.layers[:-1]
+        if not upper:
+            return np.zeros((len(queries), 1), np.int64)
+        k = max(i for i, (nodes, _) in enumerate(upper) if i == 0 or len(nodes) <= WHOLE_LEVEL)
+        nodes = upper[k][0]
+        s = queries @ self.vecs[nodes].T
+        m = min(ENTRIES, len(nodes))
+        at = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        at = nodes[at].astype(np.int64)
+        for nodes, nbrs in upper[k + 1 :]:
+            flat = _greedy(self.vecs[nodes], nbrs, np.repeat(queries, m, 0), np.searchsorted(nodes, at.reshape(-1)))
+            at = nodes[flat].astype(np.int64).reshape(-1, m)
         return at
 
     def search(self, queries: np.ndarray, k: int, ef: int, entry: np.ndarray | None = None, block: int = 128, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +66,8 @@ class Graph:
         self.last = np.full(len(queries), -np.inf, np.float32)  # cosine at the end of each query's beam
         for a in range(0, len(queries), block):
             q = queries[a : a + block]
-            start = self.entries(q) if entry is None else entry[a : a + block]
-            i, s = _beam(self.vecs, nbrs, q, start[:, None], max(ef, k), floor=None if floor is None else floor[a : a + block])
+            start = self.entries(q) if entry is None else entry[a : a + block, None]
+            i, s = _beam(self.vecs, nbrs, q, start, max(ef, k), floor=None if floor is None else floor[a : a + block])
             self.last[a : a + block] = s[:, -1]
             i = i[:, :k]
             s = np.einsum("ikj,ij->ik", self.vecs[i], q)  # all in one way, so that copies of a vector tie exactly
@@ -123,6 +133,12 @@ def _beam(vecs: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray,
     ids[:, :m] = start
     sims[:, :m] = np.einsum("ikj,ij->ik", vecs[start], q)
     done[:, :m] = False
+    if m > 1:  # descent from different nodes may end at the same one
+        order = np.sort(start, axis=1)
+        for r in np.flatnonzero((order[:, 1:] == order[:, :-1]).any(1)):
+            _, one = np.unique(start[r], return_index=True)
+            again = np.setdiff1d(np.arange(m), one)
+            ids[r, again], sims[r, again], done[r, again] = n, -np.inf, True
     seen[rows[:, None], start] = True
     live = rows
     while len(live):
