@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seqloom-"))
     return spark.sparkContext.getCheckpointDir()
