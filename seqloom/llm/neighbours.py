@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.hnsw import Graph
@@ -31,15 +31,29 @@ DEGREE, EF_BUILD, EF_SEARCH = 16, 48, 96
 _PART = 4 << 20  # bytes of a piece of a stored graph
 
 
+def hashed_sample(df: DataFrame, n: int, most: int, *salt: Column) -> DataFrame:
+    """``most`` rows of ``df``, which has about ``n``, by the hash of their ``k``. Tasks send the driver few more than these, however many tasks there are."""
+    h = F.xxhash64("k", *salt)
+    few = df.filter(h <= F.lit(int(-(2**63) + min(1.0, 4 * most / max(n, 1)) * (2**64 - 2**12)))) if n > 4 * most else df
+    if n > 4 * most and few.count() < most:
+        few = df
+    return few.orderBy(h).limit(most)
+
+
+def usable_arrays(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    """``k, e``: each non-null id with its vector as it is; see ``usable_vectors``."""
+    e = F.col(vector)
+    odd = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return df.filter(F.col(key).isNotNull() & (F.size(e) == dim) & ~odd & F.exists(e, lambda x: x != 0)).groupBy(F.col(key).alias("k")).agg(F.min(e).alias("e"))
+
+
 def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """``k, v``: each non-null id with its vector in unit length, as float32 bytes.
 
     Vectors that are null, all-zero, of another dimension, or that hold a null, NaN or infinite element are left out. Of
     different usable vectors of one id, the smallest in array order stays.
     """
-    e = F.col(vector)
-    odd = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    ok = df.filter(F.col(key).isNotNull() & (F.size(e) == dim) & ~odd & F.exists(e, lambda x: x != 0)).groupBy(F.col(key).alias("k")).agg(F.min(e).alias("e"))
+    ok = usable_arrays(df, key, vector, dim)
     kind = dict(ok.dtypes)["k"]
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +102,7 @@ def fit_cells(index: DataFrame, n: int, dim: int, shard_vectors: int, sample: in
     """Centroids of about ``n`` / ``shard_vectors`` cells, as many as the vectors ask for: 4 * dim bytes a cell."""
     spark = index.sparkSession
     cells, most = -(-n // shard_vectors), max(2, sample // CELL_SAMPLE)
-    rows = index.orderBy(F.xxhash64("k")).limit(sample).select("v").collect()  # bounded
+    rows = hashed_sample(index, n, sample).select("v").collect()  # bounded
     top = centroid_tree(np.frombuffer(b"".join(bytes(r["v"]) for r in rows), np.float32).reshape(-1, dim), min(cells, most))
     if cells <= most:
         return top
@@ -196,7 +210,7 @@ def nearest_neighbours(
     if n > shard_vectors:
         centroids = fit_cells(index, n, dim, shard_vectors)
         if probes is None:
-            rows = index.orderBy(F.xxhash64("k", F.lit(1))).limit(QUERIES).select("k", "v").collect()  # bounded
+            rows = hashed_sample(index, n, QUERIES, F.lit(1)).select("k", "v").collect()  # bounded
             probes = visits_needed(index, rows, centroids, k)
     else:
         centroids = np.zeros((1, dim), np.float32)

@@ -11,6 +11,7 @@ from seqloom.llm.lookalike import look_classes, same_look, visible_forms
 from seqloom.llm.neighbours import nearest_neighbours
 from seqloom.llm.packing import CAPACITY, pack
 from seqloom.llm.paths import frequent_paths
+from seqloom.llm.similar_pairs import similar_pairs
 from seqloom.llm.tokenization import token_counts, token_ids
 from seqloom.llm.toxicity import toxicity
 from seqloom.runtime import table
@@ -23,8 +24,7 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of items whose vectors have a cosine of at least 0.90."""
-    near = nearest_neighbours(table(spark, d, "t5xl"), "item_id", "embedding").filter(F.col("cosine") >= 0.9)
-    return near.select(F.least("item_id", "neighbour").alias("item_a"), F.greatest("item_id", "neighbour").alias("item_b")).distinct()
+    return similar_pairs(table(spark, d, "t5xl"), "item_id", "embedding", 0.9)
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:

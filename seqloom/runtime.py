@@ -61,10 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and keeps it in the shared folder, so that lost executors cost no recomputation.
 
-    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` its files go as soon as nothing refers to it any more.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` its files go as soon as nothing refers to it any more. Those of the shuffles
+    that led to it go at once, as they are not read again.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting holds for frames made under it
+    finally:
+        spark.conf.set(name, before)
 
 
 def put_shared(spark: SparkSession, data: bytes, suffix: str) -> str:
