@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +73,79 @@ def rings(edges: DataFrame, sources: DataFrame | None = None, depth: int = 3) ->
     return out, visited
 
 
+def packed(edges: DataFrame) -> DataFrame:
+    """``src, dsts, cnts``: the edges of a source in a few rows of lists, which take a quarter of the space; sorted by source and kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            src = b.column("src")
+            at = np.concatenate([[0], np.flatnonzero(np.asarray(pa.compute.not_equal(src[1:], src[:-1]).fill_null(True))) + 1, [len(src)]])
+            ends = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([src.take(pa.array(at[:-1])), pa.ListArray.from_arrays(ends, b.column("dst")), pa.ListArray.from_arrays(ends, b.column("cnt"))], names=["src", "dsts", "cnts"])
+
+    rows = edges.select(*(F.col(c).cast("bigint") for c in ("src", "dst", "cnt")))
+    return cut(rows.repartition("src").sortWithinPartitions("src").mapInArrow(run, "src bigint, dsts array<bigint>, cnts array<bigint>"))
+
+
+def unpacked(lists: DataFrame) -> DataFrame:
+    """``src, dst, cnt`` again, and what else ``lists`` holds."""
+    more = [c for c in lists.columns if c not in ("src", "dsts", "cnts")]
+    return lists.select("src", *more, F.explode(F.arrays_zip("dsts", "cnts")).alias("_x")).select("src", F.col("_x.dsts").alias("dst"), F.col("_x.cnts").alias("cnt"), *more)
+
+
+def reached_twice(lists: DataFrame, own: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+    """``src, hot, item``: ring 2 of each of ``roots`` (src, hot); where ``hot`` is false, only the k smallest ids of it.
+
+    ``own``: the rows of ``lists`` of the roots, with ``hot``. Lists are sent as they are, and the pairs are told apart where they meet: in place of
+    a row for each pair that is reached, there are one for each list and those that are asked for.
+    """
+    sent = unpacked(own).select("src", "hot", F.col("dst").alias("item")).join(lists.select(F.col("src").alias("item"), F.col("dsts").alias("ids")), "item").select("src", "hot", F.lit(1).alias("f"), "ids")
+    seen = own.select("src", "hot", F.lit(0).alias("f"), F.col("dsts").alias("ids")).unionByName(roots.select("src", "hot", F.lit(0).alias("f"), F.array("src").alias("ids")))
+
+    def told(src: np.ndarray, hot: np.ndarray, f: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        """Of sorted, whole sources: an element a place."""
+        new = np.concatenate([[True], src[1:] != src[:-1]])
+        s, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        if 0 <= ids.min() and ids.max() < 1 << 40 and len(first) < 1 << 22:
+            key = np.sort((s << 41) | (ids << 1) | f)
+            s, ids, f = key >> 41, (key >> 1) & ((1 << 40) - 1), key & 1
+        else:
+            order = np.lexsort((f, ids, s))
+            s, ids, f = s[order], ids[order], f[order]
+        fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (s[1:] != s[:-1])]) & (f == 1)
+        s, ids = s[fresh], ids[fresh]
+        keep = hot[first][s] | (np.arange(len(s)) - np.searchsorted(s, s) < k)
+        s, ids = s[keep], ids[keep]
+        return pa.RecordBatch.from_arrays([pa.array(src[first][s]), pa.array(hot[first][s]), pa.array(ids)], names=["src", "hot", "item"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            ids = b.column("ids")
+            n = np.asarray(pa.compute.list_value_length(ids))
+            if not n.sum():
+                continue
+            now = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), n) for c in ("src", "hot", "f")] + [ids.flatten().to_numpy()]
+            last = np.searchsorted(now[0], now[0][-1])
+            if held and (last or held[-1][0][-1] != now[0][-1]):  # a source is over
+                yield told(*(np.concatenate(x) for x in zip(*held, tuple(x[:last] for x in now))))
+                held = []
+            elif last:
+                yield told(*(x[:last] for x in now))
+            held.append(tuple(x[last:] for x in now))
+            if sum(len(x[0]) for x in held) > 1 << 22:  # one source that reaches very much: each id once
+                src, hot, f, ids = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((f, ids))
+                order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+                held = [(src[order], hot[order], f[order], ids[order])]
+        if held:
+            yield told(*(np.concatenate(x) for x in zip(*held)))
+
+    return sent.unionByName(seen).repartition("src").sortWithinPartitions("src").mapInArrow(run, "src bigint, hot boolean, item bigint")
+
+
 def outside_sizes(users: DataFrame, visited: DataFrame, n_items: int) -> DataFrame:
     """``user, n``: how many ids of 0 .. n_items - 1 are neither visited from the user's source nor in the user's history.
 

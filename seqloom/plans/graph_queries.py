@@ -324,7 +324,8 @@ rk AS ({_ranked('sc', 10)}), li AS ({_lists('rk', 'src', 2)}), {_fold('li', (8,
 one AS (SELECT ls.user_id, coalesce(f.items, []) AS items FROM ls LEFT JOIN f ON f.q = seq[-2]) {_flat('one')}""")
 def recommend_single_baskets(spark: SparkSession, d: str) -> DataFrame:
     """Two rings on the larger graph of the orders."""
-    return _ranks(rec.single_source(*_l(spark, d), rec.Config(budgets=(8, 2))))
+    seqs = cut(line_sequences(spark, d))
+    return _ranks(rec.single_source(seqs, graph.transitions(seqs, "seq"), rec.unit_vectors(table(spark, d, "embeddings"), "vec_id", "embedding"), rec.Config(budgets=(8, 2))))
 
 
 @query(f"""WITH {E}, {_edges('es', 2)}, {_rings(1, '(SELECT DISTINCT seq[-2] AS src FROM es)')}, {_EMB}, {_score()},

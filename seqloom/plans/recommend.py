@@ -54,6 +54,40 @@ def _ranked(edges: DataFrame, sources: DataFrame, vectors: DataFrame, depth: int
     return ranking.top_per_ring(ranking.score(cands, anchors, vectors, graph.edge_weights(edges), alpha), k), visited
 
 
+#: Bytes that the pairs of a round may take: sources are taken in as many rounds as their second ring asks for.
+ROUND_BYTES = 1 << 30
+
+
+def _two_rings(lists: DataFrame, sources: DataFrame, vectors: DataFrame, alpha: float, k: int) -> DataFrame:
+    """As ``_ranked`` with two rings, without listing all pairs.
+
+    A source without a vector has a cosine of 0 to everything, so the k smallest ids are the best of its second ring, and of the others no row is
+    made. Sources are taken in rounds of which only the k best of each ring are kept, so the space on disk doesn't grow with the pairs.
+    """
+    first = vectors.select(F.size("e").alias("d")).first()
+    each = 1 + (first["d"] if first else 0)
+    roots = cut(sources.join(vectors.select(F.col("item").alias("src"), F.lit(True).alias("hot")), "src", "left").select("src", F.coalesce("hot", F.lit(False)).alias("hot")))
+    out_of = lists.groupBy(F.col("src").alias("dst")).agg(F.sum(F.size("dsts")).alias("n"))
+    into = graph.unpacked(lists.join(roots, "src")).groupBy("dst").agg(F.sum(F.when(F.col("hot"), each).otherwise(1)).alias("s"))
+    cells = into.join(out_of, "dst").agg(F.sum(F.col("s") * F.col("n"))).first()[0] or 0
+    rounds, done = max(1, -(-8 * cells // ROUND_BYTES)), None
+    for r in range(rounds):
+        part = roots.filter(F.pmod(F.xxhash64("src"), F.lit(rounds)) == r)
+        own = lists.join(part, "src")
+        near = graph.unpacked(own)
+        far = graph.reached_twice(lists, own, part, k)
+        w = graph.edge_weights(near.filter("NOT hot").drop("hot"))
+        plain = w.select(F.col("src").alias("q"), "src", F.lit(1).alias("hop"), F.col("dst").alias("item"), (F.round(alpha * F.col("w"), ranking.DIGITS) if alpha > 0 else F.lit(0.0)).alias("score"))
+        plain = plain.unionByName(far.filter("NOT hot").select(F.col("src").alias("q"), "src", F.lit(2).alias("hop"), "item", F.lit(0.0).alias("score")))
+        cands = near.filter("hot").select(F.col("src").alias("q"), "src", F.lit(1).alias("hop"), F.col("dst").alias("item"))
+        cands = cands.unionByName(far.filter("hot").select(F.col("src").alias("q"), "src", F.lit(2).alias("hop"), "item"))
+        anchors = part.filter("hot").join(vectors, F.col("src") == vectors["item"]).select(F.col("src").alias("q"), normalise(F.col("e"), 1e-8).alias("anchor"))
+        scored = ranking.score(cands, anchors, vectors, graph.edge_weights(near.filter("hot").drop("hot")), alpha)
+        best = cut(ranking.top_per_ring(plain.unionByName(scored), k))
+        done = best if done is None else done.unionByName(best)
+    return done
+
+
 def _none() -> Column:
     return F.array().cast("array<bigint>")
 
@@ -119,10 +153,16 @@ def single_source(seqs: DataFrame, edges: DataFrame, vectors: DataFrame, cfg: Co
     t = targets(seqs, "user_id", "seq").filter(F.col("last").isNotNull())
     sources = t.select(F.col("last").alias("src")).distinct()
     deep = len(cfg.budgets) > depth
+    lists = None
+    if depth == 2 and cfg.last_n == 1 and not deep and not cfg.semantic_pad and {dict(edges.dtypes)[c] for c in ("src", "dst", "cnt")} == {"bigint"}:
+        lists = graph.packed(edges)
+        edges = graph.unpacked(lists)
+        if not lists.filter(F.col("src").isNull() | F.exists("dsts", F.isnull)).isEmpty():
+            lists = None
     pads = _Pads(edges, vectors, cfg, (n_items_of(edges, seqs, "seq") if n_items is None else n_items) if deep or cfg.semantic_pad else 0)
     anchors = None
     if cfg.last_n == 1:
-        ranked, visited = _ranked(edges, sources, vectors, depth, cfg.alpha, total)
+        ranked, visited = (_two_rings(lists, sources, vectors, cfg.alpha, total), None) if lists is not None else _ranked(edges, sources, vectors, depth, cfg.alpha, total)
         rows = t.join(assembly.ring_lists(ranked, len(cfg.budgets)).withColumnRenamed("q", "last"), "last", "left")
     else:
         ring, visited = graph.rings(edges, sources, depth)

@@ -192,3 +192,48 @@ def test_metrics(spark):
     assert m == {1: (0.0, 0.0), 5: (0.5, round(0.6309297 / 2, 5))}
     p = rec.predictions(df.withColumn("user_id", F.lit(1)), 2).collect()
     assert p[0]["item_ids"] == [7, 9] and p[0]["gt_ids"] == [9]
+
+
+@pytest.mark.parametrize("round_bytes,shift", [(1 << 30, 0), (1 << 30, 1 << 41), (2000, 0)])
+def test_two_rings_in_rounds(spark, monkeypatch, round_bytes, shift):
+    """Sources with and without a vector, in one round and in many, small ids and large ones."""
+    monkeypatch.setattr(rec, "ROUND_BYTES", round_bytes)
+    rng = random.Random(4)
+    seqs = {u: [shift + min(rng.randrange(30), rng.randrange(30)) for _ in range(rng.randrange(3, 12))] for u in range(40)}
+    vectors = {shift + i: [rng.gauss(0, 1) for _ in range(4)] for i in range(30) if i % 3 == 0}
+    df = spark.createDataFrame(list(seqs.items()), "user_id long, seq array<long>")
+    v = rec.unit_vectors(spark.createDataFrame(list(vectors.items()), "i long, x array<double>"), "i", "x")
+    for cfg in (rec.Config(budgets=(3, 2)), rec.Config(budgets=(2, 6), alpha=0.0)):
+        got = rec.single_source(df, graph.transitions(df, "seq"), v, cfg)
+        assert {r["user_id"]: r["items"] for r in got.collect()} == naive(seqs, vectors, cfg, "single", 0)
+
+
+def test_pairs_of_the_second_ring_are_not_kept(spark, monkeypatch):
+    """What is kept on disk grows with edges and lists, not with the pairs that are reached."""
+    kept = []
+    for m in (rec, graph):
+        monkeypatch.setattr(m, "cut", lambda df, real=m.cut: kept.append(real(df)) or kept[-1])
+    seqs = {u: [u % 50, 50 + u // 50, 0] for u in range(2500)} | {10_000 + u: [50 + u % 50, 100 + u // 50, u % 50, 0] for u in range(2500)}
+    df = spark.createDataFrame([(u, [*s, 1]) for u, s in seqs.items()], "user_id long, seq array<long>")
+    v = rec.unit_vectors(spark.createDataFrame([(1, [1.0])], "i long, x array<double>"), "i", "x")
+    edges = graph.transitions(df, "seq", 1)
+    got = rec.single_source(df.withColumn("seq", F.array(F.col("seq")[0], F.col("seq")[0], F.lit(1))), edges, v, rec.Config(budgets=(8, 2)))
+    assert got.count() == 5000 and max(x.count() for x in kept if "item" in x.columns) <= 101 * 20
+
+
+def test_a_source_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        edges = spark.createDataFrame([(0, i, 1) for i in range(60)] + [(i, (i * 7 + j) % 90, 2) for i in range(1, 60) for j in range(9)], "src long, dst long, cnt long")
+        lists = graph.packed(edges)
+        assert sorted(map(tuple, graph.unpacked(lists).collect())) == sorted(map(tuple, edges.collect()))
+        roots = spark.createDataFrame([(0, False), (1, True), (2, False), (99, True)], "src long, hot boolean")
+        got = {}
+        for r in graph.reached_twice(lists, lists.join(roots, "src"), roots, 4).collect():
+            got.setdefault(r["src"], []).append(r["item"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute_rings({(r["src"], r["dst"]): r["cnt"] for r in edges.collect()}, 2)
+    for s, n in ((0, 4), (1, 999), (2, 4)):
+        assert sorted(got[s]) == sorted(i for x, h, i in want if (x, h) == (s, 2))[:n]
+    assert set(got) == {0, 1, 2}
