@@ -26,8 +26,7 @@ from seqloom.runtime import cut, distribute, local_copy
 # Codecs that text is wrongly read with, and codecs that it was written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman", "koi8_r", "cp866", "iso8859_5", "cp850", "iso8859_2", "cp1253", "cp1254", "cp1257", "iso8859_15", "iso8859_7", "mac_cyrillic")
 WRITTEN_IN = ("cp1251", "koi8_r", "cp866", "iso8859_5", "cp1252", "cp1250", "shift_jis", "euc_jp", "gbk", "big5", "euc_kr", "cp437", "mac_roman", "cp1253")
-#: So many pairs, the most frequent ones, are sent to the tasks. What is expected of the others follows from the exact counts of their
-#: characters over all pairs, as for pairs that never occur.
+#: So many pairs, the most frequent ones, are held in the tasks' memory. The others, however many, are looked up in a sorted file.
 MAX_PAIRS = 1_000_000
 #: A run is replaced when this much log-likelihood is gained, in total and per character of the run.
 GAIN, GAIN_PER_CHAR = 4.0, 0.5
@@ -117,10 +116,12 @@ class _Kept(dict):
 class PairModel:
     """Character pairs of a corpus: ``x, y`` code points with counts ``n``.
 
-    ``first`` and ``second``: how often each character is the first or second of any pair, if ``x, y, n`` are not all pairs.
+    ``first`` and ``second``: how often each character is the first or second of any pair, if ``x, y, n`` are not all pairs. ``rest``: sorted
+    keys (see ``pair_key``) and counts of the others, none of which is more frequent than any of ``x, y``.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, first: dict[str, int] | None = None, second: dict[str, int] | None = None):
+    def __init__(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, first: dict[str, int] | None = None, second: dict[str, int] | None = None, rest: tuple[np.ndarray, np.ndarray] | None = None):
+        self.rest, self.least = rest, int(n.min()) if len(n) else 0
         self.pair = dict(zip(zip(map(chr, x.tolist()), map(chr, y.tolist())), n.tolist()))
         a_sum: Counter = Counter()
         b_sum: Counter = Counter()
@@ -132,11 +133,29 @@ class PairModel:
         self.memo: dict[tuple[str, str], tuple[float, float]] = {}
         self.suspicion, self.likelihood = _Kept(lambda a, b: self.of(a, b)[0]), _Kept(lambda a, b: self.of(a, b)[1])
 
+    def counts(self, pairs: list[tuple[str, str]]) -> list[int]:
+        """How often each of the pairs occurs."""
+        out = [self.pair.get(p, 0) for p in pairs]
+        if self.rest is not None and not all(out):
+            keys, n = self.rest
+            want = np.array([pair_key(ord(a), ord(b)) for a, b in pairs], np.int64)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            out = [c or (int(m) if ok else 0) for c, m, ok in zip(out, n[at], keys[at] == want)]
+        return out
+
+    def rival(self, a: str, b: str, over: int) -> int:
+        """Count of the most frequent pair that (a, b) stands for under another codec; 0 if none is over ``over``."""
+        pairs = [(m[a], m[b]) for m in _char_maps() if a in m and b in m and (m[a], m[b]) != (a, b)]
+        best = max((self.pair.get(p, 0) for p in pairs), default=0)
+        if not best and pairs and self.rest is not None and self.least > over:  # a pair of the rest can't be more frequent than one of the table
+            best = max(self.counts(pairs))
+        return best if best > over else 0
+
     def of(self, a: str, b: str) -> tuple[float, float]:
         """``(suspicion, log-likelihood of b after a)``. Suspicion is the negative mutual information, discounted for rare pairs."""
         got = self.memo.get((a, b))
         if got is None:
-            c, ca, cb, n = self.pair.get((a, b), 0), self.first.get(a, 0), self.second.get(b, 0), self.total
+            c, ca, cb, n = self.pair.get((a, b)) or (self.counts([(a, b)])[0] if self.rest is not None else 0), self.first.get(a, 0), self.second.get(b, 0), self.total
             k = 20.0
             vouched = c
             if c:
@@ -144,8 +163,8 @@ class PairModel:
                 s = max(-CEILING, -math.log(c * n / (ca * cb)) * rare) - 0.1
                 # A pair of a wrong encoding vouches for itself where that error is common; but what it stands for is more common still.
                 if a > "\x7f" or b > "\x7f":
-                    rival = max((self.pair.get((m[a], m[b]), 0) for m in _char_maps() if a in m and b in m and (m[a], m[b]) != (a, b)), default=0)
-                    if rival > 4 * c + 4:
+                    rival = self.rival(a, b, 4 * c + 4)
+                    if rival:
                         s = min(UNSEEN, math.log(rival / c))
                         if a > "\x7f" and b > "\x7f":
                             vouched = 0
@@ -332,11 +351,35 @@ def pair_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(count, "x int, y int, n bigint").groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
+def pair_key(x, y):
+    """Code points (or columns of them) as one number that sorts like the pair."""
+    return x * (1 << 21) + y
+
+
+def _rest(counts: DataFrame, last: tuple[int, int, int]) -> tuple[str, ...]:
+    """Files of the keys and the counts of all pairs that come after ``last`` (x, y, n), sorted by key; none if there are no such pairs.
+
+    The tasks sort and pack them; they pass the driver in pieces and aren't held there.
+    """
+    x, y, n = (F.col(c).cast("bigint") for c in "xyn")
+    more = counts.filter(F.struct(-n, x, y) > F.struct(*(F.lit(int(c)).cast("bigint") for c in (-last[2], last[0], last[1]))))
+    if more.isEmpty():
+        return ()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().astype("<i8").tobytes()], pa.binary()) for c in b.columns], names=["key", "n"])
+
+    packed = cut(more.select(pair_key(x, y).alias("key"), n.alias("n")).repartitionByRange("key").sortWithinPartitions("key").mapInArrow(pack, "key binary, n binary"))
+    return tuple(distribute(counts.sparkSession, (bytes(r[0]) for r in packed.select(c).toLocalIterator()), f".{c}") for c in ("key", "n"))
+
+
 @lru_cache(maxsize=2)
-def _repairer(name: str) -> Repairer:
+def _repairer(name: str, rest: tuple[str, ...] = ()) -> Repairer:
     z = np.load(local_copy(name))
     first, second = (dict(zip(map(chr, z[c][0].tolist()), z[c][1].tolist())) for c in ("first", "second"))
-    return Repairer(PairModel(*z["pairs"], first, second))
+    return Repairer(PairModel(*z["pairs"], first, second, tuple(np.memmap(local_copy(r), "<i8", "r") for r in rest) or None))
 
 
 def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -346,8 +389,8 @@ def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     text that isn't garbled). ``restored``: the text with all restorable parts undone. Null texts give no row; empty and plain
     ASCII texts come back as they are; null keys are kept.
 
-    Two passes over the texts: pair counts of all of them, then the search. The broadcast table holds at most ``MAX_PAIRS``
-    pairs and the counts of all characters over all pairs. The search for an inverse goes up to three mappings deep and follows the six
+    Two passes over the texts: pair counts of all of them, then the search. The broadcast table holds the ``MAX_PAIRS`` most frequent
+    pairs and the counts of all characters over all pairs; all other pairs are in a sorted file that tasks map into memory. The search for an inverse goes up to three mappings deep and follows the six
     likeliest texts of each depth: chains of wrong encodings longer than that are found but not restored whole.
     """
     import io
@@ -360,12 +403,14 @@ def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
         "second": counts.groupBy("y").agg(F.sum("n").alias("n")),
     }
     buf = io.BytesIO()
-    np.savez(buf, **{name: t.toPandas().to_numpy(np.int64).T for name, t in tables.items()})
+    tables = {name: t.toPandas().to_numpy(np.int64).T for name, t in tables.items()}
+    np.savez(buf, **tables)
     name = distribute(df.sparkSession, buf.getvalue(), ".npz")
+    rest = _rest(counts, tuple(tables["pairs"][:, -1])) if tables["pairs"].shape[1] == MAX_PAIRS else ()
     kind = dict(rows.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = _repairer(name)
+        r = _repairer(name, rest)
         for b in batches:
             got = [r.repair(t) for t in b.column(1).to_pylist()]
             cols = [pa.array([g[i] for g in got], (pa.bool_(), pa.bool_(), pa.string())[i]) for i in range(3)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,8 +75,8 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(name, before)
 
 
-def put_shared(spark: SparkSession, data: bytes, suffix: str) -> str:
-    """Writes bytes into the shared folder, and returns the URI. The file goes with the session."""
+def put_shared(spark: SparkSession, data: bytes | Iterable[bytes], suffix: str) -> str:
+    """Writes bytes (or pieces of them, one after the other) into the shared folder, and returns the URI. The file goes with the session."""
     uri = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}{suffix}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
@@ -83,8 +84,9 @@ def put_shared(spark: SparkSession, data: bytes, suffix: str) -> str:
     out = fs.create(path, True)
     try:
         step = 1 << 20
-        for k in range(0, len(data), step):
-            out.write(bytearray(data[k : k + step]))
+        for piece in [data] if isinstance(data, bytes) else data:
+            for k in range(0, len(piece), step):
+                out.write(bytearray(piece[k : k + step]))
     finally:
         out.close()
     fs.deleteOnExit(path)
@@ -98,7 +100,7 @@ def exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
     return fs.exists(p) and (not folder or fs.getFileStatus(p).isDirectory())
 
 
-def distribute(spark: SparkSession, data: bytes, suffix: str) -> str:
+def distribute(spark: SparkSession, data: bytes | Iterable[bytes], suffix: str) -> str:
     """Puts bytes into the shared folder and has Spark bring them to each executor; returns the name for ``local_copy``."""
     uri = put_shared(spark, data, suffix)
     spark.sparkContext.addFile(uri)

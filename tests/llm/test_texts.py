@@ -1,4 +1,5 @@
 import io
+import os
 import unicodedata
 
 import numpy as np
@@ -175,6 +176,42 @@ def test_rare_characters_are_known(spark, monkeypatch, most):
     assert m.first["ŵ"] == m.second["ŵ"] == 1 and m.total == sum(m.second.values())
 
 
+@pytest.mark.parametrize("most", [1, 40, 100])
+def test_pairs_beyond_the_table_count_as_well(spark, monkeypatch, most):
+    """The bound of the table in memory changes nothing: all other pairs are looked up."""
+    from seqloom.llm import encoding_repair as er
+
+    texts = ["Повесть о старом маяке и забытом письме", "Größe fällt klein aus", "Coleção de verão para crianças", "Une soirée d'été à Nîmes"]
+    rows = [(10 * i + j, f"Title: {i}; Text: {t}") for i in range(30) for j, t in enumerate(texts)]
+    rows += [(1000 + j, f"Title: x; Text: {_garble(t, r)}") for j, t in enumerate(texts) for r in ("latin-1", "cp1252") if j]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = sorted(map(tuple, repair_texts(df, "id", "text").collect()))
+    names = []
+    real = er._rest
+    monkeypatch.setattr(er, "_rest", lambda *a: names.append(real(*a)) or names[-1])
+    monkeypatch.setattr(er, "MAX_PAIRS", most)
+    assert sorted(map(tuple, repair_texts(df, "id", "text").collect())) == want and any(r[1] for r in want)
+    counts = er.pair_counts(df.distinct(), "text").toPandas()
+    full = er.PairModel(*counts[["x", "y", "n"]].to_numpy().T)
+    top = counts.sort_values(["n", "x", "y"], ascending=[False, True, True])
+    low = top[most:].assign(k=er.pair_key(top.x.astype("int64"), top.y.astype("int64"))[most:]).sort_values("k")
+    files = [np.fromfile(er.local_copy(f), "<i8").tolist() for f in names[0]]
+    assert files == [low.k.tolist(), low.n.tolist()]
+    part = er.PairModel(*top[:most][["x", "y", "n"]].to_numpy().T, full.first, full.second, (low.k.to_numpy(), low.n.to_numpy()))
+    signs = sorted({*full.first, *full.second, "Ã", "Ð", "\xa0", "ž"})
+    assert all(part.of(a, b) == full.of(a, b) for a in signs for b in signs)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_repairs_do_not_depend_on_the_table(spark, monkeypatch):
+    from seqloom.llm import encoding_repair as er
+
+    df = spark.read.parquet("/root/testdata/sf0.001/items.parquet").select("id", "text").distinct()
+    want = set(map(tuple, repair_texts(df, "id", "text").collect()))
+    monkeypatch.setattr(er, "MAX_PAIRS", 100)
+    assert set(map(tuple, repair_texts(df, "id", "text").collect())) == want
+
+
 # -- toxicity --------------------------------------------------------------------------------------------
 
 
