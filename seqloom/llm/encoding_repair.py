@@ -121,7 +121,7 @@ class PairModel:
     """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, first: dict[str, int] | None = None, second: dict[str, int] | None = None, rest: tuple[np.ndarray, np.ndarray] | None = None):
-        self.rest, self.least = rest, int(n.min()) if len(n) else 0
+        self.rest, self.least = rest, int(n.min()) if len(n) else 1 << 62
         self.pair = dict(zip(zip(map(chr, x.tolist()), map(chr, y.tolist())), n.tolist()))
         a_sum: Counter = Counter()
         b_sum: Counter = Counter()
@@ -356,23 +356,36 @@ def pair_key(x, y):
     return x * (1 << 21) + y
 
 
-def _rest(counts: DataFrame, last: tuple[int, int, int]) -> tuple[str, ...]:
-    """Files of the keys and the counts of all pairs that come after ``last`` (x, y, n), sorted by key; none if there are no such pairs.
+def _least_count(counts: DataFrame) -> int:
+    """The least count of which at most ``MAX_PAIRS`` pairs are as frequent or more."""
+    held, least = 0, None
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()  # a row per different count
+    for r in sizes:
+        if (held := held + r["m"]) > MAX_PAIRS:
+            return least or r["n"] + 1
+        least = r["n"]
+    return least or 1
 
-    The tasks sort and pack them; they pass the driver in pieces and aren't held there.
-    """
-    x, y, n = (F.col(c).cast("bigint") for c in "xyn")
-    more = counts.filter(F.struct(-n, x, y) > F.struct(*(F.lit(int(c)).cast("bigint") for c in (-last[2], last[0], last[1]))))
-    if more.isEmpty():
-        return ()
+
+def _packed(counts: DataFrame) -> DataFrame:
+    """``key, n``: keys and counts sorted by key, as bytes; a row for each batch, so that they pass the driver in pieces."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().astype("<i8").tobytes()], pa.binary()) for c in b.columns], names=["key", "n"])
 
-    packed = cut(more.select(pair_key(x, y).alias("key"), n.alias("n")).repartitionByRange("key").sortWithinPartitions("key").mapInArrow(pack, "key binary, n binary"))
-    return tuple(distribute(counts.sparkSession, (bytes(r[0]) for r in packed.select(c).toLocalIterator()), f".{c}") for c in ("key", "n"))
+    x, y, n = (F.col(c).cast("bigint") for c in "xyn")
+    return cut(counts.select(pair_key(x, y).alias("key"), n.alias("n")).repartitionByRange("key").sortWithinPartitions("key").mapInArrow(pack, "key binary, n binary"))
+
+
+def _rest(counts: DataFrame, least: int) -> tuple[str, ...]:
+    """Files of the keys and of the counts of all pairs less frequent than ``least``, sorted by key; none if there are no such pairs."""
+    rest = counts.filter(F.col("n") < least)
+    if rest.isEmpty():
+        return ()
+    rest = _packed(rest)
+    return tuple(distribute(counts.sparkSession, (bytes(r[0]) for r in rest.select(c).toLocalIterator()), f".{c}") for c in ("key", "n"))
 
 
 @lru_cache(maxsize=2)
@@ -389,24 +402,22 @@ def repair_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     text that isn't garbled). ``restored``: the text with all restorable parts undone. Null texts give no row; empty and plain
     ASCII texts come back as they are; null keys are kept.
 
-    Two passes over the texts: pair counts of all of them, then the search. The broadcast table holds the ``MAX_PAIRS`` most frequent
-    pairs and the counts of all characters over all pairs; all other pairs are in a sorted file that tasks map into memory. The search for an inverse goes up to three mappings deep and follows the six
+    Two passes over the texts: pair counts of all of them, then the search. The broadcast table holds the most frequent pairs, at most
+    ``MAX_PAIRS``, and the counts of all characters over all pairs; all other pairs are in a sorted file that tasks map into memory. The search for an inverse goes up to three mappings deep and follows the six
     likeliest texts of each depth: chains of wrong encodings longer than that are found but not restored whole.
     """
     import io
 
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").distinct()
     counts = cut(pair_counts(rows, "t"))
-    tables = {
-        "pairs": counts.orderBy(F.desc("n"), "x", "y").limit(MAX_PAIRS),
-        "first": counts.groupBy("x").agg(F.sum("n").alias("n")),  # a row per character
-        "second": counts.groupBy("y").agg(F.sum("n").alias("n")),
-    }
+    least = _least_count(counts)
+    keys, n = (np.frombuffer(b"".join(x), "<i8") for x in zip((b"", b""), *_packed(counts.filter(F.col("n") >= least)).toLocalIterator()))
+    # a row per character
+    chars = {name: counts.groupBy(c).agg(F.sum("n").alias("n")).toPandas().to_numpy(np.int64).T for name, c in (("first", "x"), ("second", "y"))}
     buf = io.BytesIO()
-    tables = {name: t.toPandas().to_numpy(np.int64).T for name, t in tables.items()}
-    np.savez(buf, **tables)
+    np.savez(buf, pairs=np.stack([keys >> 21, keys & ((1 << 21) - 1), n]), **chars)
     name = distribute(df.sparkSession, buf.getvalue(), ".npz")
-    rest = _rest(counts, tuple(tables["pairs"][:, -1])) if tables["pairs"].shape[1] == MAX_PAIRS else ()
+    rest = _rest(counts, least)
     kind = dict(rows.dtypes)["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,17 +186,20 @@ def test_pairs_beyond_the_table_count_as_well(spark, monkeypatch, most):
     rows += [(1000 + j, f"Title: x; Text: {_garble(t, r)}") for j, t in enumerate(texts) for r in ("latin-1", "cp1252") if j]
     df = spark.createDataFrame(rows, "id long, text string").repartition(3)
     want = sorted(map(tuple, repair_texts(df, "id", "text").collect()))
-    names = []
-    real = er._rest
+    names, seen = [], []
+    real, distribute = er._rest, er.distribute
+    monkeypatch.setattr(er, "distribute", lambda *a: seen.append(distribute(*a)) or seen[-1])
     monkeypatch.setattr(er, "_rest", lambda *a: names.append(real(*a)) or names[-1])
     monkeypatch.setattr(er, "MAX_PAIRS", most)
     assert sorted(map(tuple, repair_texts(df, "id", "text").collect())) == want and any(r[1] for r in want)
     counts = er.pair_counts(df.distinct(), "text").toPandas()
     full = er.PairModel(*counts[["x", "y", "n"]].to_numpy().T)
     top = counts.sort_values(["n", "x", "y"], ascending=[False, True, True])
+    most = max((i for i in range(most + 1) if i == 0 or top.n.iloc[i - 1] > top.n.iloc[i]))  # pairs of one count are together
     low = top[most:].assign(k=er.pair_key(top.x.astype("int64"), top.y.astype("int64"))[most:]).sort_values("k")
     files = [np.fromfile(er.local_copy(f), "<i8").tolist() for f in names[0]]
     assert files == [low.k.tolist(), low.n.tolist()]
+    assert len(er._repairer.__wrapped__(seen[0]).m.pair) == most
     part = er.PairModel(*top[:most][["x", "y", "n"]].to_numpy().T, full.first, full.second, (low.k.to_numpy(), low.n.to_numpy()))
     signs = sorted({*full.first, *full.second, "Ã", "Ð", "\xa0", "ž"})
     assert all(part.of(a, b) == full.of(a, b) for a in signs for b in signs)
